@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, pack
 
 
 def queries() -> dict:
-    return {"op5_decontaminate": decontaminate.op5_decontaminate}
+    return {
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_pack": pack.op6_pack,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
