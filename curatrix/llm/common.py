@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, for readers that don't know Spark's default one."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack
+from . import ann, decontaminate, pack, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
+        "op2_nearest": ann.op2_nearest,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_pack": pack.op6_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.OP5_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
