@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, pack, warc
+from . import ann, decontaminate, html, pack, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_nearest": ann.op2_nearest,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_pack": pack.op6_pack,
+        "op10_extract": html.op10_extract,
     }
 
 
