@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, pack, toxicity, warc
+from . import ann, decontaminate, html, neardup, pack, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_nearest": ann.op2_nearest,
+        "op3_neardup": neardup.op3_neardup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_pack": pack.op6_pack,
