@@ -32,6 +32,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
 
     def run(q: pa.Table, d: pa.Table) -> pa.Table:
         parts = []
-        q_len, d_len = (np.asarray(pa.compute.list_value_length(t["v"])) for t in (q, d))
+        q_len, d_len = (np.asarray(pc.list_value_length(t["v"])) for t in (q, d))
         for dim in np.intersect1d(q_len, d_len):
             qs, xs = q.filter(pa.array(q_len == dim)), d.filter(pa.array(d_len == dim))
             mat = lambda t, n=int(dim): t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
