@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, linededup, neardup, pack, toxicity, warc
+from . import ann, decontaminate, html, linededup, lm, neardup, pack, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_pack": pack.op6_pack,
+        "op7_lm": lm.op7_lm,
         "op8_linededup": linededup.op8_linededup,
         "op10_extract": html.op10_extract,
     }
