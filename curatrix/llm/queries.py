@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, linededup, lm, neardup, pack, toxicity, warc
+from . import ann, decontaminate, html, licences, linededup, lm, neardup, pack, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_pack": pack.op6_pack,
         "op7_lm": lm.op7_lm,
         "op8_linededup": linededup.op8_linededup,
+        "op9_licences": licences.op9_licences,
         "op10_extract": html.op10_extract,
     }
 
