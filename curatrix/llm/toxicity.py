@@ -16,8 +16,8 @@ sample's rate of label 1 among such texts.  The neighbours are the evidence.
 
 Only the text enters a score.  Defined cases: null and empty texts have no
 terms; labels with null id or value are left out, repeated labels count once
-(the largest value); equal cosines prefer the smaller position in the sample,
-which is ordered by hash; without any label the score is 0; repeated documents
+(the largest value); equal cosines prefer the smaller position in the index,
+which is ordered by heaviest term, then by hash of the id; without any label the score is 0; repeated documents
 are each scored; an empty table gives no rows; extra columns are ignored, and
 columns named like a result are replaced.
 """
@@ -110,38 +110,33 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class BlockMaxIndex:
-    """Labelled unit vectors as postings per block, with the largest weight of each (term, block)."""
+    """Labelled unit vectors as inverted lists cut into blocks, with the largest weight of each (term, block).
+
+    A block's lists are rows of a small matrix (terms by ``BLOCK`` examples), so
+    scoring a block is one product with the query's terms.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
         self.n_blocks = max(1, -(-self.n // BLOCK))
-        self.top = np.zeros((n_terms, self.n_blocks), np.float32)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.n_blocks):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for i, (at, w) in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]):
-                for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                    lists.setdefault(t, []).append((i, x))
-            self.postings.append({t: (np.array([p[0] for p in ps]), np.array([p[1] for p in ps])) for t, ps in lists.items()})
-            for t, ps in lists.items():
-                self.top[t, b] = np.nextafter(np.float32(max(p[1] for p in ps)), np.float32(2))
+        self.lists = np.zeros((self.n_blocks, n_terms, BLOCK))
+        for i, (at, w) in enumerate(vectors):
+            self.lists[i // BLOCK, at, i % BLOCK] = w
+        self.top = self.lists.max(axis=2).T.copy()
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest with a positive cosine; ties: smaller position."""
-        bound = w @ self.top[at]
+        bound = w @ self.top[at] * (1 + 1e-12)
         where, cos = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(cos) >= k and bound[b] < cos[-1]):
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                found = self.postings[b].get(t)
-                if found is not None:
-                    scores[found[0]] += x * found[1]
-            i = np.flatnonzero(scores)
+            scores = w @ self.lists[b, at]
+            i = np.flatnonzero(scores > (cos[-1] * (1 - 1e-12) if len(cos) >= k else 0))
             new = i + b * BLOCK
-            keep = new != but
-            where, cos = np.concatenate([where, new[keep]]), np.concatenate([cos, scores[i][keep]])
+            if but >= 0:
+                i, new = i[new != but], new[new != but]
+            where, cos = np.concatenate([where, new]), np.concatenate([cos, scores[i]])
             order = np.lexsort((where, -cos))[:k]
             where, cos = where[order], cos[order]
         return where, cos
@@ -171,6 +166,7 @@ class Model:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int | None, int, dict[int, int]]]):
         self.vocabulary, self.idf = vocabulary, idf
         held = [(i, y, weigh(c, idf)) for i, y, c in examples if c]
+        held.sort(key=lambda h: int(h[2][0][h[2][1].argmax()]))  # like with like, for tight bounds; stable
         self.ids = [h[0] for h in held]
         self.labels = np.array([h[1] for h in held], np.float64)
         self.index = BlockMaxIndex([h[2] for h in held], len(vocabulary))

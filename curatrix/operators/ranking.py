@@ -120,7 +120,9 @@ def free_position(df: DataFrame, group: str, taken: Column, most: int = 98) -> D
 
 def key_order(key: Column) -> list[Column]:
     """Decimal keys first by number, others after by text."""
-    return [(~key.rlike("^[0-9]+$")).asc(), F.try_to_number(F.when(key.rlike("^[0-9]{1,38}$"), key), F.lit("9" * 38)).asc_nulls_last(), F.length(F.regexp_replace(key, "^0+", "")).asc(), key.asc()]
+    decimal = key.rlike("^[0-9]+$")
+    digits = F.when(decimal, F.regexp_replace(key, "^0+(?=.)", ""))
+    return [(~decimal).asc(), F.length(digits).asc_nulls_last(), digits.asc_nulls_last(), key.asc()]
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
