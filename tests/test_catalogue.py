@@ -120,7 +120,7 @@ def test_provider(items):
     c = Catalogue(items, [("1", "movie"), ("2", "show"), ("4", "artist")])
     page = c.list_items("1", 1, 3)
     assert page.total == 7 and page.returned == 3 and [r.title for r in page.rows] == ["Blade Runner", "Nothing", "Solaris"]
-    assert c.list_items("1", 0, 0).rows == [] and [r.index for r in c.get_children("p:2:202", 0, 10).rows] == [1, 2]
+    assert c.list_items("1", 0, 0).rows == [] and [r["index"] for r in c.get_children("p:2:202", 0, 10).rows] == [1, 2]
     assert [r.title for r in c.find_similar("1", "SOLAR", 5)] == ["Solaris", "Solaris"] and len(c.get_files("p:1:101")) == 1
     for bad in (lambda: c.list_items("9", 0, 1), lambda: c.list_items("1", -1, 1), lambda: c.get_item("x:1:101"), lambda: c.find_similar("1", " ", 1)):
         with pytest.raises(Correctable):
