@@ -109,7 +109,7 @@ def reason_histogram(spark, d):
 
 @query(
     "threshold_sweep",
-    "SELECT f AS floor, count(*) FILTER (WHERE ratio >= f) AS n FROM (SELECT CAST(length(replace(text, ' ', '')) AS DOUBLE) / greatest(length(text), 1) AS ratio FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) , (SELECT unnest([0.8, 0.85, 0.9, 0.95]) AS f) GROUP BY 1",
+    "SELECT f AS floor, count(*) FILTER (WHERE ratio >= f) AS n FROM (SELECT CAST(length(replace(text, ' ', '')) AS DOUBLE) / greatest(length(text), 1) AS ratio FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) , (SELECT CAST(unnest([0.8, 0.85, 0.9, 0.95]) AS DOUBLE) AS f) GROUP BY 1",
 )
 def threshold_sweep(spark, d):
     known = table(spark, d, "labels", "doc_id").distinct()
