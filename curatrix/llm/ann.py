@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TABLES, HASHES, WIDTH, PROBES = 12, 6, 1.2, 120
+TABLES, HASHES, WIDTH, PROBES = 12, 6, 1.2, 220
 DATA_BLOCK, QUERY_BLOCK = 16384, 4096
 SEED = 20240229
 _STEPS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)), dtype=np.int64)
