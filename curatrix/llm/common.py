@@ -40,50 +40,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that one task writes in a round of components().
+ROWS_A_TASK = 100_000
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Distributed union-find: (a, b) links -> (node, root), root the smallest node of its component.
 
     Rounds of contraction: every node with a smaller neighbour hooks to the
-    smallest one (a forest, since parents are smaller), pointer doubling takes
+    smallest one (a forest, since parents are smaller), pointer jumping takes
     all to their roots, and links are relabelled until none joins two roots.
     Only per-key minima and equi joins run, so no node's neighbours are ever
     gathered; nodes without a link are absent.  Null ends and loops are ignored.
+    The number of tasks of a round follows the number of links left.
     """
-    links = stored(
-        edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .distinct(),
-        f"{name}-links",
-    )
+    ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    links = stored(ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), f"{name}-links")
     labels: DataFrame | None = None
-    while not links.isEmpty():
-        hooks = stored(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), f"{name}-hooks")
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = stored(
-                hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")),
-                f"{name}-jump",
-            )
-            hooks = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
+    while left := links.count():
+        tasks = max(8, -(-2 * left // ROWS_A_TASK))
+        hooks = stored(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")).coalesce(tasks), f"{name}-hooks")
+        while True:  # three levels a pass
+            one, two = (hooks.toDF(f"_n{k}", f"_r{k}") for k in (1, 2))
+            jumped = hooks.join(one, F.col("root") == F.col("_n1"), "left").join(two, F.col("_r1") == F.col("_n2"), "left")
+            hooks = stored(jumped.select("node", F.coalesce("_r2", "_r1", "root").alias("root"), F.col("_r2").isNotNull().alias("moved")).coalesce(tasks), f"{name}-jump")
+            done = hooks.where("moved").isEmpty()
+            hooks = hooks.select("node", "root")
+            if done:
                 break
-        lo = hooks.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
-        hi = hooks.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
-        seen = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct() if labels is None else None
-        links = stored(
-            links.join(lo, "lo", "left")
-            .join(hi, "hi", "left")
-            .select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
-            .where("a <> b")
-            .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            .distinct(),
-            f"{name}-links",
-        )
         if labels is None:
-            labels = stored(seen.join(hooks, "node", "left").select("node", F.coalesce("root", "node").alias("root")), f"{name}-labels")
+            first = links.select(F.col("lo").alias("node")).union(links.select("hi")).distinct()
+            labels = stored(first.join(hooks, "node", "left").select("node", F.coalesce("root", "node").alias("root")).coalesce(tasks), f"{name}-labels")
         else:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            labels = stored(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), f"{name}-labels")
-    if labels is None:
-        return links.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
-    return labels
+            labels = stored(labels.join(hooks.toDF("root", "above"), "root", "left").select("node", F.coalesce("above", "root").alias("root")).coalesce(tasks), f"{name}-labels")
+        lo, hi = hooks.toDF("lo", "lo_root"), hooks.toDF("hi", "hi_root")
+        ends = links.join(lo, "lo", "left").join(hi, "hi", "left").select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b")).where("a <> b")
+        links = stored(ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().coalesce(tasks), f"{name}-links")
+    return links.toDF("node", "root") if labels is None else labels

@@ -17,11 +17,10 @@ probability equal to their weighted Jaccard similarity.
 Candidates: bands of ``ROWS`` coordinates (at 0.8: missed with probability
 7e-5).  Exact copies are one node.  Every member of a bucket is checked exactly
 against the bucket's least node; components of the verified links follow.  Then
-the buckets that still hold several components are compared between components:
-pairs whose signatures agree in at least ``LEAST_AGREE`` of the coordinates (at
-0.8: missed with probability 1e-7) are verified exactly, and components follow
-again.  Nothing lists all pairs of a bucket, and large buckets are cut into
-pairs of blocks.
+the buckets that still hold several components are compared exactly between
+components, as matrix products within a task, which returns a link for each two
+components it joins; components follow again.  No pairs of a bucket are listed,
+and large buckets are cut into pairs of blocks.
 
 Defined cases: null, empty and wordless texts have no shingles and are classes
 of their own, one per row; equal texts form a class with or without words in
@@ -46,9 +45,8 @@ from .common import components, stored
 THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 24, 5
 COORDS = BANDS * ROWS
-LEAST_AGREE = int(0.6 * COORDS)
-#: Members of an unresolved bucket compared in one task.
-BUCKET_BLOCK = 2000
+#: Members and characters of a block of an unresolved bucket; a task compares two blocks.
+BUCKET_BLOCK, BUCKET_CHARS = 2000, 8_000_000
 _WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Cumulative Poisson(1) probabilities as 64-bit thresholds; more than 12 darts in a cell don't occur.
@@ -154,13 +152,12 @@ def _batches(texts: list, limit: int = 400_000) -> Iterator[list[int]]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, key (of the text), bands array<long>, sig binary (16 bits a coordinate); no bands without words."""
+    """(doc_id, text) -> doc_id, key (of the text), row, n_chars, bands array<long>; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             bands: list = [[] for _ in texts]
-            sigs: list = [None] * len(texts)
             same: dict[str, int] = {}
             copies = []
             for part in _batches(texts):
@@ -182,32 +179,33 @@ def sign(docs: DataFrame) -> DataFrame:
                 folded = np.zeros((len(sets), BANDS), np.uint64) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _M3
                 for k in range(ROWS):
                     folded = mix(folded * _M1 + s[:, k::ROWS])
-                short = (s >> np.uint64(48)).astype("<u2")
-                for i, b, z in zip(fresh, folded.view(np.int64).tolist(), short, strict=True):
-                    bands[i], sigs[i] = b, z.tobytes()
+                for i, b in zip(fresh, folded.view(np.int64).tolist(), strict=True):
+                    bands[i] = b
             for i, j in copies:
-                bands[i], sigs[i] = bands[j], sigs[j]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "row", "bands", "sig"])
+                bands[i] = bands[j]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "row", "n_chars", "bands"])
 
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long")
-    return docs.select("doc_id", text_key("text").alias("key"), "text", row.alias("row")).mapInArrow(run, "doc_id long, key string, row long, bands array<long>, sig binary")
+    return docs.select("doc_id", text_key("text").alias("key"), "text", row.alias("row")).mapInArrow(run, "doc_id long, key string, row long, n_chars long, bands array<long>")
 
 
 def text_key(text: str) -> F.Column:
     return F.substring(F.sha2(F.col(text), 256), 1, 32)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def node_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored (id, text) of the wanted nodes, from the one document that stands for each."""
+    wanted = nodes.join(ids, "id", "left_semi").select("id", "key", F.col("first_doc").alias("doc_id"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("key", text_key("text"))
+    return stored(rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "text").dropDuplicates(["id"]), "neardup-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids whose texts are similar enough.
 
-    Texts of the nodes involved are written once by node; the side with many
-    partners is joined second, as the split side, so a popular node's pairs
-    spread over tasks.
+    The side with many partners is joined second, as the split side, so a
+    popular node's pairs spread over tasks.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ids, "id", "left_semi").select("id", "key", F.col("first_doc").alias("doc_id"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("key", text_key("text"))
-    texts = stored(rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "text").dropDuplicates(["id"]), "neardup-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,27 +217,70 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def similar_roots(roots: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Links between the components of a block: every pair of its texts is compared exactly, as products of set rows.
+
+    The k-th occurrence of a shingle is an element of its own, so a common count
+    of elements is the sum of minima.  A link that joins nothing new is not
+    returned.
+    """
+    rows, elements, sizes = [], [], []
+    for i, t in enumerate(texts):
+        x, n = np.unique(shingles(t), return_counts=True)
+        each = np.repeat(x, n)
+        nth = np.arange(each.size) - np.repeat(np.cumsum(n) - n, n)
+        elements.append(mix(each ^ (nth.astype(np.uint64) * _M3)))
+        rows.append(np.full(each.size, i))
+        sizes.append(each.size)
+    element, row, size = np.concatenate(elements), np.concatenate(rows), np.array(sizes, np.float64)
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(count.size, -1, np.int64)
+    place[shared] = np.arange(shared.size)
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    for c in range(0, shared.size, 4096):
+        i, j = np.searchsorted(column, [c, c + 4096])
+        x = np.zeros((len(texts), 4096), np.float32)
+        x[row[i:j], column[i:j] - c] = 1
+        common += x @ x.T
+    parent = {int(r): int(r) for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for i in range(len(texts)):
+        both = common[i].astype(np.float64)
+        for j in np.flatnonzero((both >= THRESHOLD * (size[i] + size - both) - 1e-9) & (roots != roots[i]) & (np.arange(len(texts)) > i)):
+            a, b = find(int(roots[i])), find(int(roots[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((a, b))
+    return out
+
+
 def _between_components(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket but different components whose signatures agree enough.
+    """Links (a, b) between the components that a bucket still holds, every pair of its texts compared.
 
-    members: bucket, id, root, sig, n (members of the bucket).  A bucket of more
-    than ``BUCKET_BLOCK`` members is cut into blocks, and each pair of blocks is
-    a group of its own.
+    members: bucket, root, text, n and size (members and characters of the
+    bucket).  A bucket beyond ``BUCKET_BLOCK`` members or ``BUCKET_CHARS``
+    characters is cut into blocks, and each pair of blocks is a group of its own,
+    so no task holds more than two blocks.
     """
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("size") / BUCKET_CHARS)).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", "id", "root", "sig", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", "root", "text", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(ids), COORDS)
-        out = []
-        for i in range(0, len(ids), 64):
-            agree = (sig[i : i + 64, None, :] == sig[None, :, :]).sum(2) if len(ids) < 4000 else np.stack([(sig[j] == sig).sum(1) for j in range(i, min(i + 64, len(ids)))])
-            x, y = np.nonzero((agree >= LEAST_AGREE) & (roots[i : i + 64, None] < roots[None, :]))
-            out.append(np.stack([ids[x + i], ids[y]], 1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs.min(1, initial=np.iinfo(np.int64).max)), "b": pa.array(pairs.max(1, initial=0))})
+        found = similar_roots(table["root"].to_numpy(), table["text"].to_pylist())
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return spread.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
@@ -254,22 +295,21 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     signed = stored(signed if row else signed.drop("row").withColumn("row", F.monotonically_increasing_id()), "neardup-signed")
     worded = F.size("bands") > 0
     nodes = stored(
-        signed.where(worded).groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min_by(F.struct("bands", "sig"), "row").alias("s")).select(F.monotonically_increasing_id().alias("id"), "key", "first_doc", "s.bands", "s.sig"),
+        signed.where(worded).groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min_by(F.struct("bands", "n_chars"), "row").alias("s")).select(F.monotonically_increasing_id().alias("id"), "key", "first_doc", "s.bands", "s.n_chars"),
         "neardup-nodes",
     )
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = stored(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "neardup-buckets")
     members = stored(buckets.join(shared, "bucket"), "neardup-members")
     pairs = stored(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "neardup-pairs")
-    links = stored(verified(pairs, nodes, slim), "neardup-links")
-    roots = components(links, "neardup")
-    placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = stored(placed.join(stored(mixed, "neardup-mixed"), "bucket", "left_semi").join(nodes.select("id", "sig"), "id").select("bucket", "id", "root", "sig", "n"), "neardup-rest")
-    more = stored(_between_components(rest).join(pairs, ["a", "b"], "left_anti"), "neardup-more")
-    if not more.isEmpty():
-        links = links.union(stored(verified(more, nodes, slim), "neardup-more-links"))
-        roots = components(links, "neardup")
+    texts = node_texts(members.select("id").distinct(), nodes, slim)
+    roots = components(verified(pairs, texts), "neardup")
+    placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    placed = stored(placed.join(nodes.select("id", "n_chars"), "id"), "neardup-placed")
+    mixed = stored(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum("n_chars").alias("size")).where("x < y").select("bucket", "n", "size"), "neardup-mixed")
+    more = _between_components(placed.join(mixed, "bucket").join(texts, "id").select("bucket", "id", "root", "text", "n", "size"))
+    above = components(more, "neardup-more").toDF("root", "above")
+    roots = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(above.join(roots.select(F.col("node").alias("root")), "root", "left_anti"))
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     labelled = stored(
         signed.where(worded).select("row", "doc_id", "key").join(named, "key").select("row", "doc_id", "root"),
