@@ -8,9 +8,11 @@ probability is ``P_e(s)``; the weighted probability is ``P_e(s)`` at a leaf and
 depth of the context path: ``p(s) = w * KT(s) + (1 - w) * p(child)`` with
 ``w = P_e(s) / (2 P_w(s))``.
 
-The tree holds a bounded number of contexts, the most frequent ones (a context
-is at least as frequent as any that extends it, so the set is closed); what an
-inner context's kept children don't cover is one more child, a leaf.
+``sums_above``, ``mix_above`` and ``gram_logs`` fit the whole tree, in parts of the
+grams that share their newest context bytes; only nodes on the path of a gram are
+held.  ``ContextTree`` states the same model in one place over any closed set of
+contexts (tests compare the two); there, what an inner context's kept children
+don't cover is one more child, a leaf.
 
 A text is coded as its UTF-8 bytes and one END byte (0xFF never occurs in
 UTF-8), behind a context of END bytes, so scores are proper probabilities of
@@ -93,6 +95,96 @@ def _symbol_logs(p_one: np.ndarray) -> np.ndarray:
     return logs
 
 
+_SMALL = np.arange(65536, dtype=np.float64)
+_HALVES, _WHOLES = lgamma(_SMALL + 0.5), lgamma(_SMALL + 1)
+
+
+def _log_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``log_kt`` of whole numbers, small ones from a table."""
+    n = a + b
+    small = n < _SMALL.size
+    i, j = (np.where(small, x, 0).astype(np.int64) for x in (a, b))
+    out = _HALVES[i] + _HALVES[j] - math.log(math.pi) - _WHOLES[i + j]
+    if not small.all():
+        out[~small] = log_kt(a[~small], b[~small])
+    return out
+
+
+def _nodes(g: np.ndarray, n: np.ndarray, depth: int, bit: int) -> tuple:
+    """(node keys ``context * 256 + node``, each gram's node, each gram's bit, zeros, ones) at full depth."""
+    symbol = g & 255
+    node, one = (1 << bit) | (symbol >> (8 - bit)), (symbol >> (7 - bit)) & 1
+    keys, of = np.unique((g >> 8) * 256 + node, return_inverse=True)
+    return keys, of, one, np.bincount(of, n * (1 - one), keys.size), np.bincount(of, n * one, keys.size)
+
+
+def _shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Node keys cut to the newest ``depth`` context bytes."""
+    return keys & ((1 << (8 * depth + 8)) - 1)
+
+
+def _raise(keys, zeros, ones, split, depth: int, to: int) -> tuple:
+    """Log weighted probabilities of nodes at ``depth`` up to ``to``: (keys, zeros, ones, log_w, [(parents, weight, kt)]).
+
+    split: the summed log_w of the children; None at the tree's leaves.
+    """
+    steps = []
+    for d in range(depth, to - 1, -1):
+        log_e = _log_kt_counts(zeros, ones)
+        if split is None:
+            log_w, weight = log_e, np.ones_like(log_e)
+        else:
+            log_w = LOG_HALF + np.logaddexp(log_e, split)
+            weight = np.exp(LOG_HALF + log_e - log_w)
+        step = [None, weight, (ones + 0.5) / (zeros + ones + 1)]
+        steps.append(step)
+        if d == to:
+            break
+        keys, step[0] = np.unique(_shorter(keys, d - 1), return_inverse=True)
+        zeros, ones, split = (np.bincount(step[0], x, keys.size) for x in (zeros, ones, log_w))
+    return keys, zeros, ones, log_w, steps
+
+
+def _descend(steps: list) -> tuple[np.ndarray, np.ndarray]:
+    """(own, rest) of the deepest nodes: the prediction is ``own + rest * p`` with p from below them."""
+    own, rest, at = np.zeros(steps[0][1].size), np.ones(steps[0][1].size), np.arange(steps[0][1].size)
+    for parents, weight, kt in steps:
+        own, rest = weight[at] * kt[at] + (1 - weight[at]) * own, (1 - weight[at]) * rest
+        at = parents[at] if parents is not None else at
+    return own, rest
+
+
+def sums_above(g: np.ndarray, n: np.ndarray, depth: int, low: int):
+    """For each bit: (node keys at ``low - 1`` bytes, zeros, ones, summed log_w of these grams' contexts of ``low`` bytes)."""
+    for bit in range(8 if g.size else 0):
+        keys, _, _, zeros, ones = _nodes(g, n, depth, bit)
+        keys, zeros, ones, log_w, _ = _raise(keys, zeros, ones, None, depth, low)
+        above, of = np.unique(_shorter(keys, low - 1), return_inverse=True)
+        yield (above, *(np.bincount(of, x, above.size) for x in (zeros, ones, log_w)))
+
+
+def mix_above(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node keys, own, rest) of all contexts of ``low - 1`` bytes, from the summed ``sums_above``."""
+    if not keys.size:
+        return keys, np.empty(0), np.empty(0)
+    by = np.argsort(keys)
+    steps = _raise(keys[by], zeros[by], ones[by], split[by], low - 1, 0)[4]
+    return (keys[by], *_descend(steps))
+
+
+def gram_logs(g: np.ndarray, n: np.ndarray, depth: int, low: int, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log10 probability of each gram's last byte; all grams that share ``low`` context bytes are there."""
+    out = np.zeros(g.size)
+    for bit in range(8):
+        keys, of, one, zeros, ones = _nodes(g, n, depth, bit)
+        own, _ = _descend(_raise(keys, zeros, ones, None, depth, low)[4])
+        if low:
+            at = np.searchsorted(above[0], _shorter(keys, low - 1))
+            own = above[1][at] + above[2][at] * own
+        out += np.log10(np.where(one == 1, own[of], 1 - own[of]))
+    return out
+
+
 class ContextTree:
     """States are the kept contexts, the root first; ``table[state]`` has log10 of the 256 bytes' probabilities.
 

@@ -93,3 +93,25 @@ def test_base_and_edges(spark):
     assert lm.score(docs.limit(0), train, depth=1).collect() == []
     uniform = lm.score(docs, docs.limit(0), depth=1).collect()
     assert abs(next(r.score for r in uniform if r.doc_id == 4) - math.log10(1 / 256)) < 1e-6
+
+
+def test_every_context_counts(spark, monkeypatch):
+    """More contexts than any fixed cap held: scores are those of the whole tree, dealt in parts, and rare contexts are known."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 400)) for _ in range(120)]
+    rows = [(i, t, i % 7 == 2) for i, t in enumerate([*texts, "", None, "é" * 50])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    train = [t for _, t, out in rows if not out]
+    codes, at, _ = ctw.coded(train, 5)
+    g, n = np.unique(ctw.gram_keys(codes, at, 5), return_counts=True)
+    d = np.concatenate([np.full(g.size, k) for k in range(6)])
+    ctx = np.concatenate([(g >> 8) & ((1 << 8 * k) - 1) for k in range(6)])
+    kept, state = np.unique(d << 40 | ctx, return_inverse=True)
+    assert kept.size > 65536
+    tree = ctw.ContextTree(kept >> 40, kept & ((1 << 40) - 1), (state, np.tile(g & 255, 6), np.tile(n, 6)))
+    want = ctw.Scorer(tree.depth, tree.edges, tree.table).score([t for _, t, _ in rows])
+    for held in (lm.HELD_GRAMS, 1000):
+        monkeypatch.setattr(lm, "HELD_GRAMS", held)
+        monkeypatch.setattr(lm, "FIT_GRAMS", 9000)
+        got = {r.doc_id: r.score for r in lm.score(docs, docs.where("not held_out"), unseen=docs.where("held_out")).collect()}
+        assert max(abs(got[i] - want[i]) for i in got) < 1e-2 and len(got) == len(rows)
