@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm M and given one more coordinate,
-``sqrt(1 - |x|^2 / M^2)`` (queries: 0), which turns the largest inner product
-into the smallest Euclidean distance.  Each of ``TABLES`` tables hashes by
+Vectors are put in bands of norms, ``BANDS`` a doubling, scaled by the upper end M of
+their own band and given one more coordinate, ``sqrt(1 - |x|^2 / M^2)``
+(queries: 0), which turns the largest inner product of a band into the smallest
+Euclidean distance; so a long vector changes nothing for the others, and the
+bands, all of which are visited, can share directions and probes.  Each of ``TABLES`` tables hashes by
 ``floor((a . v + b) / width)`` for ``HASHES`` Gaussian directions.  A query
 visits its own bucket and perturbed ones (each hash -1, 0 or +1) in order of
 estimated success, the sum of squared distances to the crossed bucket borders,
 ``PROBES`` buckets a table.  Candidates of all tables are merged and reranked by
-exact double-precision inner products.
+exact double-precision inner products, with rows long enough to be among the best at a cosine of ``WIDE``.
 
 Layout: rows get a running number and go to blocks of at most about
 ``DATA_BLOCK`` rows; queries to blocks of ``QUERY_BLOCK``.  One task joins one
@@ -40,6 +42,10 @@ from .common import stored
 
 TABLES, HASHES, WIDTH, PROBES = 12, 6, 1.2, 220
 DATA_BLOCK, QUERY_BLOCK = 16384, 4096
+#: Bands of norms for each doubling.
+BANDS = 4
+#: Cosine at which hashing is not relied on: rows that reach the best found so far with it are candidates.
+WIDE = 0.3
 SEED = 20240229
 _STEPS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)), dtype=np.int64)
 
@@ -55,9 +61,10 @@ def _directions(dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dim, HASHES)), rng.uniform(0, WIDTH, HASHES)
 
 
-def candidate_mask(queries: np.ndarray, data: np.ndarray, largest: float, probes: int = PROBES) -> np.ndarray:
+def candidate_mask(queries: np.ndarray, data: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """mask[q, x]: some table's probed bucket of query q holds x."""
-    x = data / largest
+    norms = np.linalg.norm(data, axis=1)
+    x = data / np.maximum(np.exp2(np.ceil(np.log2(norms) * BANDS) / BANDS), norms)[:, None]
     x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]])
     q = np.hstack([queries / np.linalg.norm(queries, axis=1)[:, None], np.zeros((len(queries), 1))])
     mask = np.zeros((len(q), len(x)), bool)
@@ -85,18 +92,22 @@ def candidate_mask(queries: np.ndarray, data: np.ndarray, largest: float, probes
     return mask
 
 
-def search_block(q_rows, q_vec, d_rows, d_ids, d_vec, largest: float, k: int):
+def search_block(q_rows, q_vec, d_rows, d_ids, d_vec, k: int):
     """Best k of a data block for each query of a query block: (query index, data index, score)."""
     out_q, out_d, out_s = [], [], []
+    norms = np.linalg.norm(d_vec, axis=1)
     id_order = np.where(np.isnan(d_ids), np.inf, d_ids)
     for i in range(0, len(q_vec), 512):
         q = q_vec[i : i + 512]
-        mask = candidate_mask(q, d_vec, largest)
+        mask = candidate_mask(q, d_vec)
         mask &= q_rows[i : i + 512, None] != d_rows[None, :]
         scores = q @ d_vec.T
         few = mask.sum(1) < k
         if few.any():
             mask[few] = q_rows[i : i + 512][few][:, None] != d_rows[None, :]
+        if len(d_vec) > k:  # rows so long that a wide angle is enough are visited whatever their bucket
+            least = np.partition(np.where(mask, scores, -np.inf), len(d_vec) - k, axis=1)[:, len(d_vec) - k]
+            mask |= (np.linalg.norm(q, axis=1)[:, None] * norms * WIDE >= least[:, None]) & (q_rows[i : i + 512, None] != d_rows[None, :])
         scores[~mask] = -np.inf
         for j in range(len(q)):
             s = scores[j]
@@ -118,9 +129,8 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
     """query_id, rank (from 1), vec_id, score of the k nearest found for each row where ``is_query`` holds."""
     named = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = stored(valid(named, "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
-    head = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
+    head = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq")).first()
     data_blocks, query_blocks = max(1, -(-head["n"] // DATA_BLOCK)), max(1, -(-head["nq"] // QUERY_BLOCK))
-    largest = float(head["m"] or 1.0) ** 0.5 * (1 + 1e-12)
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("row", "vec_id", "v", block(data_blocks).alias("db"), spread(query_blocks).alias("qb"))
@@ -133,7 +143,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
             qs, xs = q.filter(pa.array(q_len == dim)), d.filter(pa.array(d_len == dim))
             mat = lambda t, n=int(dim): t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             ids = xs["vec_id"].cast(pa.float64(), safe=False).to_numpy()
-            i, j, s = search_block(qs["row"].to_numpy(), mat(qs), xs["row"].to_numpy(), ids, mat(xs), largest, k)
+            i, j, s = search_block(qs["row"].to_numpy(), mat(qs), xs["row"].to_numpy(), ids, mat(xs), k)
             parts.append(pa.table({"row": qs["row"].take(pa.array(i)), "query_id": qs["vec_id"].take(pa.array(i)), "vec_id": xs["vec_id"].take(pa.array(j)), "score": pa.array(s)}))
         return pa.concat_tables(parts) if parts else pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 

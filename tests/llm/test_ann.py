@@ -34,3 +34,19 @@ def test_invalid_ties_and_few(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(docs, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3, 1.0), (0, 2, 7, 1.0), (0, 3, None, 0.5)]
     assert ann.nearest(docs.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_recall_with_unequal_norms():
+    """One long vector, or norms of heavy tails, take nothing from the other rows."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    outlier = x.copy()
+    outlier[7] *= 10
+    rows, queries = np.arange(len(x)), np.arange(0, len(x), 40)
+    for y in (outlier, x * rng.lognormal(0, 0.7, (len(x), 1)), x * (1 + rng.pareto(1.5, (len(x), 1)))):
+        i, j, _ = ann.search_block(queries, y[queries], rows, rows.astype(float), y, k=20)
+        s = y[queries] @ y.T
+        s[np.arange(len(queries)), queries] = -np.inf
+        best = np.argsort(-s, axis=1)[:, :20]
+        assert np.mean([len(set(best[q]) & set(j[i == q])) / 20 for q in range(len(queries))]) >= 0.95
