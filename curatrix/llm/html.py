@@ -2,14 +2,15 @@
 
 1. Each page is parsed into block-level containers and text blocks.  A container
    is scored by the text below it that is neither boilerplate by name nor mostly
-   links; the page votes for the deepest container that still holds most of it,
-   with that text's length as the vote.
+   links; the page has one vote for the deepest container that holds all of it.
+   Lists and tables are parts of a text and never such a container.
 2. A container's path is generalised: tags and classes with digits replaced.
    Spark adds the votes per (host, path) before the shuffle and ranks the paths
    of each host.
-3. Every page is read again and the containers on its host's best path present
-   in the page are extracted, without boilerplate below them; a page with none
-   of the ranked paths uses its own vote.
+3. Every page is read again.  Paths voted for by a fifth of the host's pages
+   win; a page's own vote stands if it wins, otherwise all containers on winning
+   paths are extracted, without boilerplate below them; a page with none of them
+   uses its own vote.
 
 Text: character references decoded, white space inside a block made one space
 and trimmed, blocks joined by two line feeds, in page order.
@@ -28,17 +29,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A page votes for the deepest container with at least this part of its good text.
-SHARE = 0.6
+#: A path wins with this part of its host's votes.
+SHARE = 0.2
 #: Blocks with a larger part of link text are not good text.
 MAX_LINKS = 0.5
-#: Ranked paths kept per host for pages without the best one.
-PATHS = 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -52,6 +51,8 @@ _BREAKS = frozenset(["hr"])
 _DROPPED_TAGS = frozenset("head nav footer aside form menu dialog noscript template button select svg canvas object audio video math".split())
 #: Elements whose start ends an open element of the named kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: With headings, what no text is ever narrowed down to.
+_PARTS = frozenset("p pre ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption".split())
 _SCOPE = frozenset("ul ol dl table td th div section article main body blockquote".split())
 #: Words of class, id and role names that mark boilerplate.
 _NAMES = frozenset(
@@ -185,32 +186,32 @@ class Page:
         return out
 
     def vote(self) -> tuple[str, int]:
-        """(path, good text) of the deepest container with most of the page's good text."""
+        """(path, good text) of the deepest container with all of the page's good text."""
         good = self.good()
         at = 0
         for k in range(1, len(good)):  # a child comes after its parent
-            if self.parent[k] == at and good[k] >= SHARE * max(1, good[0]) and not self._leaf(k):
+            if self.parent[k] == at and good[k] == good[0] > 0 and not self._leaf(k):
                 at = k
         return self.path[at], good[at]
 
     def _leaf(self, k: int) -> bool:
         tag = self.path[k].rpartition("/")[2].partition(".")[0]
-        return tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote", "figure") or (tag[:1] == "h" and tag[1:].isdigit())
+        return tag in _PARTS or (tag[:1] == "h" and tag[1:].isdigit())
 
-    def text(self, path: str) -> str:
-        """Blocks of all containers on ``path``, without dropped ones below."""
+    def text(self, *paths: str) -> str:
+        """Blocks of all containers on ``paths``, without dropped ones below."""
         inside = [False] * len(self.parent)
         for k in range(len(self.parent)):
-            inside[k] = self.path[k] == path or (k > 0 and inside[self.parent[k]])
+            inside[k] = self.path[k] in paths or (k > 0 and inside[self.parent[k]])
         return "\n\n".join(t for t, _, k in self.blocks if inside[k] and not self.dropped[k])
 
 
-def extract_page(source: str | None, ranked: list[str] | None) -> str:
-    """Main text of a page, given its host's paths, best first."""
+def extract_page(source: str | None, winning: list[str] | None) -> str:
+    """Main text of a page, given its host's winning paths."""
     page = Page(source or "")
-    there = set(page.path)
-    path = next((p for p in ranked or [] if p in there), None)
-    return page.text(path if path is not None else page.vote()[0])
+    own, there = page.vote()[0], set(page.path)
+    found = [p for p in winning or [] if p in there]
+    return page.text(own) if own in found or not found else page.text(*found)
 
 
 def host_of(url) -> F.Column:
@@ -218,17 +219,18 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """host, paths: the host's container paths by votes, best first (ties: by path)."""
+    """host, paths: the host's winning container paths, most votes first (ties: by path); five at most."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = [Page(v.as_py() or "").vote() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([int(v[1] > 0) for v in votes], pa.int64())], names=["host", "path", "votes"])
 
     votes = rows.mapInArrow(run, "host string, path string, votes long").where("votes > 0").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"]).alias("paths"))
+    all_votes = votes.groupBy("host").agg(F.sum("votes").alias("all"))
+    won = votes.join(all_votes, "host").where(F.col("votes") >= SHARE * F.col("all"))
+    return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path"))), lambda s: s["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

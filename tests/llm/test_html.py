@@ -29,3 +29,21 @@ def test_consensus_helps_a_page_that_misleads(spark):
 def test_long_broken_page():
     source = "<div>" * 3000 + "<p " + 'a="' * 2000 + "text" + "<p>x" * 3000
     assert H.extract_page(source, None).endswith("x")
+
+
+def test_nothing_of_an_article_is_cut(spark):
+    items = "".join(f"<li>entry {i} of a long list" for i in range(40))
+    listed = f"<body><article><h1>Head</h1><p>Before.</p><ul>{items}</ul><p>After.</p></article></body>"
+    whole = "\n\n".join(["Head", "Before.", *(f"entry {i} of a long list" for i in range(40)), "After."])
+    assert H.extract_page(listed, None) == whole
+    rows = "".join(f"<tr><td>row {i}<td>{i}" for i in range(40))
+    assert H.extract_page(f"<body><article><p>Before.</p><table>{rows}</table></article>", None).startswith("Before.\n\nrow 0\n\n0\n\nrow 1")
+    led = "<body><div class=page><h1>Head {n}</h1><div class=lead>" + "lead " * 35 + "</div><div class=body>" + "body " * 65 + "</div></div></body>"
+    plain = "<body><article><h1>H</h1><p>Words before.</p><ul><li>one</ul></article></body>"
+    pages = [(i, f"http://led/{i}", led.format(n=i)) for i in range(5)] + [(9, "http://mixed/9", listed)] + [(10 + i, f"http://mixed/{i}", plain) for i in range(3)]
+    mixed = [(20 + i, f"http://half/{i}", led.format(n=i) if i % 2 else "<body><div class=page><div class=body>just a body</div></div>") for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages + mixed, "page_id long, url string, html string")).collect()}
+    want = lambda n: f"Head {n}\n\n{' '.join(['lead'] * 35)}\n\n{' '.join(['body'] * 65)}"
+    assert all(got[i] == want(i) for i in range(5)) and got[9] == whole
+    assert all(got[10 + i] == "H\n\nWords before.\n\none" for i in range(3))
+    assert all(got[20 + i] == (want(i) if i % 2 else "just a body") for i in range(6))
