@@ -410,6 +410,12 @@ def fold_text(spark, d):
     return table(spark, d, "documents", "doc_id", "text", "lang").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
 
 
+@query("fold_text_all")
+def fold_text_all(spark, d):
+    """Folding on every document; no SQL states casefold and NFKC, a test compares with plain Python."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
+
+
 @query("path_parse", "SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/')[1] AS host, regexp_replace(list_last(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '')), '\\.[A-Za-z0-9]{2,4}$', '') AS leaf, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '')) AS INT) AS depth FROM pages")
 def path_parse(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")

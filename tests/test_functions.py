@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import parse, pointer, text
+from curatrix.plans import queries as Q
 
 
 def test_ladder_values():
@@ -70,3 +74,13 @@ def test_pointers():
     for bad in (lambda: pointer.resolve(doc, "/a/01"), lambda: pointer.resolve(doc, "/q"), lambda: pointer.parse("a"), lambda: pointer.parse("/~2"), lambda: pointer.set_at(doc, "/new", 1), lambda: pointer.matches("/a", "/*")):
         with pytest.raises(pointer.PointerError):
             bad()
+
+
+def test_every_document_is_folded(spark, tmp_path):
+    """All languages, characters outside ASCII and nulls take part; plain Python states the same."""
+    texts = ["The  CAT\tsat", "Straße ﬁn", "İSTANBUL ẞ", "ΣΊΣΥΦΟΣ ς", "Café Ü", "ＦＵＬＬ width", "Привет\nМИР", "", None, "東京 ｶﾞ"]
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda v: " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v).casefold()).split())
+    want = {i: None if t is None else hashlib.sha256(fold(t).encode()).hexdigest() for i, t, _ in rows}
+    assert {r.doc_id: r.folded for r in Q.QUERIES["fold_text_all"](spark, str(tmp_path)).collect()} == want
