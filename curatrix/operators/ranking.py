@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,26 @@ def surrogate_keys(df: DataFrame, group: list[str], order: list[Column], start:
     return df.withColumn("new_key", start + F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def total_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 in the whole order: sorted in ranges, whose row counts before are added.
+
+    The sorted rows are written to the shared folder, so both reads see the same ranges.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/order-{uuid.uuid4().hex}"
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())  # range number << 33 | place in the range
+    placed.write.option("compression", "zstd").parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    before, starts = 0, []
+    for r in sorted(placed.groupBy("_range").agg(F.count("*").alias("n")).collect()):  # a row a range
+        starts.append((r["_range"], before))
+        before += r["n"]
+    offsets = spark.createDataFrame(starts, "_range long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), "_range").withColumn(name, place).drop("_range", "_at", "_before")
+
+
 def free_position(df: DataFrame, group: str, taken: Column, most: int = 98) -> DataFrame:
     """Smallest number of 1..most that the group does not use (null if none is free)."""
     used = df.groupBy(group).agg(F.collect_set(F.when(taken.between(1, most), taken)).alias("used"))

@@ -323,11 +323,20 @@ def page_slice(spark, d):
     return ranking.page(table(spark, d, "documents", "doc_id", "source"), ["source", "doc_id"], 100, 20)
 
 
+def _item_keys(customers: DataFrame) -> DataFrame:
+    """key, place: customers in the order of their item keys."""
+    key = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("sw"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
+    return ranking.total_order(customers.select(key.alias("key")), ranking.key_order(F.col("key")), "place")
+
+
 @query("item_key_order", "SELECT key, row_number() OVER (ORDER BY NOT regexp_matches(key, '^[0-9]+$'), try_cast(key AS HUGEINT), key) AS place FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'sw' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS key FROM customer WHERE c_nationkey = 3)")
 def item_key_order(spark, d):
-    key = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("sw"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
-    rows = table(spark, d, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3").select(key.alias("key"), F.lit(0).alias("one"))
-    return ranking.surrogate_keys(rows, ["one"], ranking.key_order(F.col("key")), F.lit(0).cast("long")).select("key", F.col("new_key").alias("place"))
+    return _item_keys(table(spark, d, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3"))
+
+
+@query("item_key_order_all", "SELECT key, row_number() OVER (ORDER BY NOT regexp_matches(key, '^[0-9]+$'), try_cast(key AS HUGEINT), key) AS place FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'sw' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS key FROM customer)")
+def item_key_order_all(spark, d):
+    return _item_keys(table(spark, d, "customer", "c_custkey"))
 
 
 @query("variant_choice", f"SELECT p_partkey, CAST(('0x' || substr({_RANK % 'p_partkey'}, 1, 8)) AS BIGINT) % 3 AS variant FROM part")

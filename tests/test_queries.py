@@ -8,6 +8,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from curatrix.operators import ranking
@@ -65,3 +66,19 @@ def test_apportionment_agrees_with_exact_fractions(spark):
         want = Q.apportion_exact([("a", 7), ("b", 7), ("c", 3), ("d", 0)], seats)
         assert got is None or got == want
         assert sum(want.values()) == seats
+
+
+def test_every_customer_has_a_place_without_one_partition(spark):
+    """All customers are ranked, in several ranges, and no window gathers them in one task."""
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = Q.QUERIES["item_key_order_all"](spark, SF)
+        got = [(r.place, r.key) for r in df.collect()]
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    keys = [r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").collect()]
+    want = sorted((str(k) if k % 3 else f"sw{k}" for k in keys), key=lambda x: (not x.isdigit(), int(x) if x.isdigit() else 0, x))
+    assert sorted(got) == list(enumerate(want, 1))
+    assert ranking.total_order(spark.createDataFrame([], "x long"), [F.col("x")], "place").collect() == []
