@@ -8,10 +8,11 @@ reported files are read, so a retried or speculative attempt leaves no
 duplicates.
 
 Reader: archives are cut into byte ranges.  A task scans its range for the gzip
-magic; a candidate counts if it inflates to a well-formed WARC header block and
-the member ends at another such member or at the end of the file.  From there
+magic; a candidate counts if it inflates to a well-formed WARC header block,
+however long, and the member ends at another such member or at the end of the file.  From there
 it follows member after member.  A record belongs to the range in which its
-member starts, so each is read exactly once wherever the cuts fall.
+member starts, so each is read exactly once wherever the cuts fall; the query
+compares the records read with those written.
 
 Defined cases: a null payload is empty; a null url has no target URI; rows with
 a null id sort after all others (they revisit a row with an id); repeated rows
@@ -38,8 +39,8 @@ RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"  # records carry no capture time of their own
-#: Compressed bytes that must hold a member's header block.
-_HEAD = 1 << 16
+#: Bytes read and inflated at a time while a header block is looked for.
+_CHUNK = 1 << 16
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -82,14 +83,26 @@ def _header(data: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def _plausible(data: bytes) -> bool:
-    """Does ``data`` start with a gzip member whose first bytes are a WARC header block?"""
-    if not data.startswith(MAGIC):
-        return False
+def _plausible(file, at: int, size: int) -> bool:
+    """Does a gzip member start at ``at`` that begins with a WARC header block, however long?"""
+    z, head, data = zlib.decompressobj(31), bytearray(), b""
     try:
-        return _header(zlib.decompressobj(31).decompress(data, _HEAD)) is not None
+        while not z.eof:
+            if not data:
+                data = file.read_at(min(_CHUNK, size - at), at) if at < size else b""
+                if not data or (not head and not data.startswith(MAGIC[: len(data)])):
+                    return False
+                at += len(data)
+            seen = max(0, len(head) - 3)
+            head += z.decompress(data, _CHUNK)
+            data = z.unconsumed_tail
+            if not head.startswith(b"WARC/1."[: len(head)]):
+                return False
+            if head.find(b"\r\n\r\n", seen) >= 0:
+                return _header(bytes(head)) is not None
     except zlib.error:
-        return False
+        pass
+    return False
 
 
 def _inflate(file, offset: int, size: int) -> tuple[bytes, int] | None:
@@ -124,12 +137,12 @@ def read_range(uri: str, start: int, end: int) -> Iterator[tuple[dict[str, str],
                 at = where + found
                 if found < 0 or at >= end:
                     return
-                if not _plausible(file.read_at(min(_HEAD, size - at), at)):
+                if not _plausible(file, at, size):
                     at += 1
                     continue
             member = _inflate(file, at, size)
             head = _header(member[0]) if member else None
-            chained = member is not None and (member[1] == size or _plausible(file.read_at(min(_HEAD, size - member[1]), member[1])))
+            chained = member is not None and (member[1] == size or _plausible(file, member[1], size))
             if head is None or not chained:
                 at, sure = at + 1, False
                 continue
@@ -144,8 +157,8 @@ def references(pages: DataFrame, *, page_id: str, digest: str, n_bytes: str, min
     return stored(big.where("n > 1").select("payload_digest", "first_id"), "warc-first")
 
 
-def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> list[tuple[str, int]]:
-    """Write one archive per task into ``folder``; the (uri, bytes) of those committed."""
+def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> list[tuple[str, int, int]]:
+    """Write one archive per task into ``folder``; the (uri, bytes, records) of those committed."""
     folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
@@ -156,23 +169,24 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _filesystem(folder)
         system.create_dir(base, recursive=True)
-        name, stream, size = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
+        name, stream, size, n = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for r in batch.to_pylist():
                 stream = stream or system.open_output_stream(f"{base}/{name}", compression=None)
                 data = encode_record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["refers_to"])
                 stream.write(data)
                 size += len(data)
+                n += 1
         if stream is not None:
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64())], names=["uri", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["uri", "bytes", "records"])
 
-    return [(r["uri"], r["bytes"]) for r in marked.mapInArrow(write, "uri string, bytes long").collect()]  # a row a task
+    return [(r["uri"], r["bytes"], r["records"]) for r in marked.mapInArrow(write, "uri string, bytes long, records long").collect()]  # a row a task
 
 
-def read_archives(spark: SparkSession, files: list[tuple[str, int]], *, range_bytes: int = RANGE_BYTES, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, files: list[tuple[str, int, int]], *, range_bytes: int = RANGE_BYTES, with_payload: bool = True) -> DataFrame:
     """Records of the archives, one task a byte range; see READ_SCHEMA."""
-    ranges = [(uri, at, min(at + range_bytes, size)) for uri, size in files for at in range(0, size, range_bytes)]
+    ranges = [(uri, at, min(at + range_bytes, size)) for uri, size, _ in files for at in range(0, size, range_bytes)]
     table = spark.createDataFrame(ranges, "uri string, first long, last long").repartition(max(1, len(ranges)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +220,19 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], *, range_by
     return table.mapInArrow(read, READ_SCHEMA)
 
 
+def all_read(records: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
+    """``records`` of the archives, written and counted: a ValueError if they are not as many as went in."""
+    got, wrote = stored(records, "warc-read"), sum(n for _, _, n in files)
+    if (read := got.count()) != wrote:
+        raise ValueError(f"{read} records read from archives of {wrote}; check the archives for damage")
+    return got
+
+
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     files = write_archives(pages, fresh_path(spark, "warc"))
-    return read_archives(spark, files, with_payload=False).drop("payload", "url")
+    return all_read(read_archives(spark, files, with_payload=False).drop("payload", "url"), files)
 
 
 OP1_SQL = """

@@ -3,6 +3,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 
+import pytest
+
 from curatrix.llm import warc as W
 from curatrix.llm.common import fresh_path
 
@@ -43,3 +45,18 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     files = W.write_archives(pages, fresh_path(spark, "warc-test"))
     assert files == [] and W.read_archives(spark, files).collect() == []
+
+
+def test_long_headers_lose_no_record(spark, tmp_path):
+    """A header block of any length is found to its end, wherever a range starts."""
+    urls = ["http://h/a", "http://h/" + "é" * 30_000, "http://h/b", "http://h/" + "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(6000)), "http://h/c"]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    files = W.write_archives(pages, fresh_path(spark, "warc-test"))
+    assert sum(n for _, _, n in files) == len(rows)
+    for step in (1000, 70_000, 1 << 23):
+        got = W.read_archives(spark, files, range_bytes=step)
+        assert sorted(r.page_id for r in got.collect()) == list(range(len(rows))), step
+    assert W.all_read(got, files).count() == len(rows)
+    with pytest.raises(ValueError, match="records read"):
+        W.all_read(got.where("page_id > 0"), files)
