@@ -2,14 +2,15 @@
 
 Words are maximal runs of ASCII digits, letters (A-Z lower-cased) and non-ASCII
 characters.  A window is 10 consecutive words of an item; an item with fewer
-words (but some) is one window.  All windows of all items go into a single
-automaton, each padded by one blank on both sides, and the normalised text
-(words joined by single blanks) is scanned once; a match's offset is taken back
-to word numbers and to byte offsets of the original text.
+words (but some) is one window.  Words of the benchmark are numbered, and all
+windows of all items, as runs of word numbers, go into a single automaton; the
+text, as word numbers too, is scanned once.  A match is a range of word numbers,
+taken back to byte offsets of the original text.
 
-Size: the automaton is broadcast to the Python workers, so the benchmark's size
-is measured first; a benchmark over ``max_chars`` is cut into shards of whole
-items and the text passes one automaton a shard, in one pipelined job.
+Size: the automaton is built in every Python worker, so the benchmark's size is
+measured first.  A benchmark over ``max_chars`` is dealt to shards by hash, and
+the text is scanned once a shard, in jobs of their own whose hits (few rows)
+are stored and joined; driver and workers hold one shard at a time.
 
 Defined cases: null or wordless texts have no words and no hits; null or
 wordless items have no windows; null ids are dropped from item lists (they name
@@ -20,17 +21,19 @@ repeated items count once by id; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, stored
+
 WINDOW = 10
-MAX_CHARS = 32_000_000
-#: Automata of the running query, one build a Python worker.
-_BUILT: dict[str, list] = {}
+#: Characters of a shard; an automaton takes about 100 bytes for each (see the test).
+MAX_CHARS = 3_000_000
+#: The automaton a Python worker has built.
+_BUILT: dict[str, Index] = {}
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Byte table: A-Z to a-z, word bytes kept, everything else to a blank.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
@@ -46,30 +49,46 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
         yield b" " + b" ".join(words[i : i + size]) + b" "
 
 
-def _shards(items: list[tuple], max_chars: int) -> list[list[tuple]]:
-    out, held = [[]], 0
-    for item in items:
-        if held and held + len(item[1]) > max_chars:
-            out.append([])
-            held = 0
-        out[-1].append(item)
-        held += len(item[1])
-    return out
-
+class Index:
+    """Numbers of the benchmark's words, and the automaton of its windows; None without windows."""
+
+    def __init__(self, items: list[tuple], size: int = WINDOW):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        windows: dict[tuple[int, ...], set] = {}
+        for item_id, text in items:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                windows.setdefault(tuple(words[i : i + size]), set()).add(item_id)
+        self.automaton = None
+        if windows:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for w, ids in windows.items():
+                self.automaton.add_word(w, (len(w), tuple(i for i in ids if i is not None)))
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """(merged hit ranges of word numbers, item ids); words of no item are number 0."""
+        ranges: list[tuple[int, int]] = []
+        ids: set = set()
+        if words and self.automaton is not None:
+            get = self.numbers.get
+            for end, (length, items) in self.automaton.iter(tuple([get(w, 0) for w in words])):
+                ranges.append((end - length + 1, end))
+                ids.update(items)
+        return merged(ranges), ids
 
-def _automaton(items: list[tuple], size: int):
-    import ahocorasick
 
-    found: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows_of(words_of(text), size):
-            found.setdefault(w, set()).add(item_id)
-    auto = ahocorasick.Automaton()
-    for w, ids in found.items():
-        auto.add_word(w.decode("latin-1"), (len(w), tuple(i for i in ids if i is not None)))
-    if found:
-        auto.make_automaton()
-    return auto if found else None
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges without overlaps; adjacent ones are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _original_spans(text: str, hit_words: list[tuple[int, int]]) -> list[dict]:
@@ -88,34 +107,6 @@ def _original_spans(text: str, hit_words: list[tuple[int, int]]) -> list[dict]:
     return [{"first_word": a, "last_word": b, "byte_start": starts[a], "byte_end": ends[b]} for a, b in hit_words]
 
 
-def _scan(autos: list, text: str | None):
-    """(words, merged hit ranges of word numbers, item ids)."""
-    words = words_of(text)
-    ranges: list[tuple[int, int]] = []
-    ids: set = set()
-    if words:
-        norm = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        starts: list[int] | None = None
-        for auto in autos:
-            for end, (length, items) in auto.iter(norm):
-                if starts is None:
-                    starts, at = [], 1
-                    for w in words:
-                        starts.append(at)
-                        at += len(w) + 1
-                first = bisect_right(starts, end - length + 2) - 1
-                ranges.append((first, bisect_right(starts, end) - 1))
-                ids.update(items)
-    ranges.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
-        else:
-            merged.append((a, b))
-    return words, merged, ids
-
-
 SPAN = pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 _SCHEMA = "n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<first_word:long,last_word:long,byte_start:long,byte_end:long>>"
 
@@ -125,35 +116,77 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     Columns of ``docs`` with one of those names are replaced.
     """
-    items = [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.select(item_id, item_text).where(F.col(item_text).isNotNull()).distinct().toLocalIterator()]
-    shards = _shards(sorted(items, key=lambda r: (r[0] is None, r[0] or "", r[1])), max_chars)
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
+    shards = max(1, -(-(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]) // max_chars))
     new = ("n_words", "n_hit", "n_items", "item_ids", "spans")
-    kept = docs.select(*[c for c in docs.columns if c not in new])
-    at = kept.columns.index(text)
-    held, token, names = docs.sparkSession.sparkContext.broadcast(shards), uuid.uuid4().hex, [*kept.columns, *new]
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    if shards == 1:
+        return _scanned(kept, _shard(items, 0, 1), text, window)
+    row = free_name(kept, "_row")
+    held = stored(kept.withColumn(row, F.monotonically_increasing_id()), "decontaminate-docs")
+    hits = None
+    for k in range(shards):
+        found = _scanned(held.select(row, text), _shard(items, k, shards), text, window).where("n_hit > 0").select(row, "item_ids", "spans")
+        found = stored(found, "decontaminate-hits")
+        hits = found if hits is None else hits.union(found)
+    per = hits.groupBy(row).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))  # a row a shard
+    return _merged_hits(held.join(per, row, "left"), text).drop(row)
+
+
+def _shard(items: DataFrame, k: int, shards: int) -> list[tuple]:
+    """(id, text) of a shard, whose size is bounded: the only rows that come to the driver at once."""
+    return [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k).collect()]
+
+
+def _with_columns(kept: DataFrame, run) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{fields}, {_SCHEMA}")
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    """n_words, n_hit, n_items, item_ids, spans of (text, words, ranges, ids)."""
+    return [
+        pa.array([len(w) for _, w, _, _ in rows], pa.int64()), pa.array([sum(b - a + 1 for a, b in r) for _, _, r, _ in rows], pa.int64()), pa.array([len(i) for *_, i in rows], pa.int64()),
+        pa.array([sorted(i) for *_, i in rows], pa.list_(pa.string())), pa.array([_original_spans(t, r) if r else [] for t, _, r, _ in rows], pa.list_(SPAN)),
+    ]
+
+
+def _scanned(kept: DataFrame, items: list[tuple], text: str, window: int) -> DataFrame:
+    """One pass of the texts through the automaton of these items."""
+    at, names = kept.columns.index(text), [*kept.columns, "n_words", "n_hit", "n_items", "item_ids", "spans"]
+    held, token = kept.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _BUILT:
             _BUILT.clear()
-            _BUILT[token] = [a for s in held.value if (a := _automaton(s, window)) is not None]
-        autos = _BUILT[token]
+            _BUILT[token] = Index(held.value, window)
+        index = _BUILT[token]
         for batch in batches:
-            n_words, n_hit, n_items, all_ids, spans = [], [], [], [], []
+            rows = []
             for value in batch.column(at):
+                words = words_of(value.as_py())
+                rows.append((value.as_py(), words, *index.scan(words)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(rows)], names=names)
+
+    return _with_columns(kept, run)
+
+
+def _merged_hits(found: DataFrame, text: str) -> DataFrame:
+    """Rows with the item_ids and spans of all shards -> the columns of one pass."""
+    names = [c for c in found.columns if c not in ("item_ids", "spans")]
+    at = names.index(text)
+    rest = found.select(*[F.col(f"`{c}`") for c in names], "item_ids", F.col("spans.first_word").alias("firsts"), F.col("spans.last_word").alias("lasts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value, ids, first, last in zip(*[batch.column(i) for i in (at, len(names), len(names) + 1, len(names) + 2)], strict=True):
                 t = value.as_py()
-                words, merged, ids = _scan(autos, t)
-                n_words.append(len(words))
-                n_hit.append(sum(b - a + 1 for a, b in merged))
-                n_items.append(len(ids))
-                all_ids.append(sorted(ids))
-                spans.append(_original_spans(t, merged) if merged else [])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(all_ids, pa.list_(pa.string())), pa.array(spans, pa.list_(SPAN))],
-                names=names,
-            )
+                rows.append((t, words_of(t), merged(list(zip(first.as_py() or [], last.as_py() or [], strict=True))), ids.as_py() or []))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *_columns(rows)], names=[*names, "n_words", "n_hit", "n_items", "item_ids", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, {_SCHEMA}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name in names)
+    return rest.mapInArrow(run, f"{fields}, {_SCHEMA}")
 
 
 def items_digest(ids) -> F.Column:

@@ -27,8 +27,8 @@ def _brute(text, items, size=10):
 @given(st.lists(st.sampled_from("a b c A é - aa".split()), max_size=40), st.lists(st.lists(st.sampled_from("a b c é aa".split()), max_size=14), max_size=4))
 def test_scan_equals_brute_force(doc, items):
     rows = [(str(i), " ".join(t)) for i, t in enumerate(items)]
-    auto = D._automaton(rows, 10)
-    words, merged, ids = D._scan([auto] if auto else [], " ".join(doc))
+    words = D.words_of(" ".join(doc))
+    merged, ids = D.Index(rows, 10).scan(words)
     assert (len(words), sum(b - a + 1 for a, b in merged), sorted(ids)) == _brute(" ".join(doc), rows)
 
 
