@@ -1,16 +1,20 @@
 """Main-text extraction by consensus host paths.
 
 1. Each page is parsed into block-level containers and text blocks.  A container
-   is scored by the text below it that is neither boilerplate by name nor mostly
-   links; the page has one vote for the deepest container that holds all of it.
-   Lists and tables are parts of a text and never such a container.
+   is boilerplate by its tag, or by a word of its class, id or role; but one that
+   holds more than half of the page's running text is no boilerplate by such a
+   word, unless it is the readers' comments.  A container is scored by the text
+   below it that is neither boilerplate nor mostly links; the page has one vote
+   for the deepest container that holds all of it.  Lists and tables are parts of
+   a text and never such a container.
 2. A container's path is generalised: tags and classes with digits replaced.
    Spark adds the votes per (host, path) before the shuffle and ranks the paths
    of each host.
 3. Every page is read again.  Paths voted for by a fifth of the host's pages
    win; a page's own vote stands if it wins, otherwise all containers on winning
-   paths are extracted, without boilerplate below them; a page with none of them
-   uses its own vote.
+   paths are extracted, without boilerplate below them.  A page without any, or
+   whose larger part stands in an article, main element or under a first-level
+   heading outside them, uses its own vote.
 
 Text: character references decoded, white space inside a block made one space
 and trimmed, blocks joined by two line feeds, in page order.
@@ -36,6 +40,8 @@ from .common import stored
 
 #: A path wins with this part of its host's votes.
 SHARE = 0.2
+#: Part of a page's running text above which a container is kept whatever its name, and an article outside the winning paths counts.
+MOST = 0.5
 #: Blocks with a larger part of link text are not good text.
 MAX_LINKS = 0.5
 
@@ -61,20 +67,26 @@ _NAMES = frozenset(
     "comment comments commentlist discussion replies reply respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter "
     "signup login search searchbox form pagination pager tags taglist toc skip hidden complementary contentinfo".split()
 )
+#: Words whose containers are dropped even if they hold most of a page.
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Page:
     """Containers (parent, path, dropped) and text blocks (text, link characters, container) of a page."""
 
-    __slots__ = ("parent", "path", "dropped", "blocks")
+    __slots__ = ("parent", "path", "dropped", "blocks", "named")
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
         self.dropped: list[bool] = [False]
         self.blocks: list[tuple[str, int, int]] = []
+        #: Containers that a word of their names calls boilerplate.
+        self.named: set[int] = set()
         self._read(source)
+        if self.named:
+            self._drop_named()
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
@@ -159,7 +171,7 @@ class Page:
 
     def _open(self, stack: list[tuple[str, int]], tag: str, attributes: str) -> None:
         above = stack[-1][1]
-        name, dropped = tag, self.dropped[above] or tag in _DROPPED_TAGS
+        name, dropped, named = tag, self.dropped[above] or tag in _DROPPED_TAGS, False
         if attributes:
             found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)}
             classes = found.get("class", "").split()
@@ -167,14 +179,23 @@ class Page:
                 name = f"{tag}.{'.'.join(sorted(re.sub('[0-9]+', '#', c) for c in classes))}"
             if tag not in ("html", "body", "article", "main") and not dropped:
                 words = {w.lower() for v in (*classes, found.get("id", ""), found.get("role", "")) for w in _SPLIT.split(v) if w} if classes or "id" in found or "role" in found else set()
-                dropped = bool(words & _NAMES) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+                named = bool(words & _NAMES) and not words & _COMMENTS
+                dropped = bool(words & _COMMENTS) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         if tag == "header" and not any(t in ("article", "main") for t, _ in stack):
             dropped = True
         self.parent.append(above)
         self.path.append(f"{self.path[above]}/{name}")
         self.dropped.append(dropped)
+        if named and not dropped:
+            self.named.add(len(self.parent) - 1)
         stack.append((tag, len(self.parent) - 1))
 
+    def _drop_named(self) -> None:
+        """Containers with a boilerplate name are dropped, with all below, unless they hold most of the running text."""
+        size = self.good()
+        for k in range(1, len(self.parent)):  # a child comes after its parent
+            self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]] or (k in self.named and size[k] <= MOST * size[0])
+
     def good(self) -> list[int]:
         """Characters of good text at and below each container."""
         out = [0] * len(self.parent)
@@ -198,11 +219,28 @@ class Page:
         tag = self.path[k].rpartition("/")[2].partition(".")[0]
         return tag in _PARTS or (tag[:1] == "h" and tag[1:].isdigit())
 
-    def text(self, *paths: str) -> str:
-        """Blocks of all containers on ``paths``, without dropped ones below."""
+    def _inside(self, paths: tuple[str, ...]) -> list[bool]:
         inside = [False] * len(self.parent)
         for k in range(len(self.parent)):
             inside[k] = self.path[k] in paths or (k > 0 and inside[self.parent[k]])
+        return inside
+
+    def elsewhere(self, *paths: str) -> int:
+        """Characters of good text outside all containers on ``paths`` in articles, main elements and containers with a first-level heading."""
+        inside, marked = self._inside(paths), [False] * len(self.parent)
+        for k, path in enumerate(self.path):
+            tag = path.rpartition("/")[2].partition(".")[0]
+            if tag in ("article", "main"):
+                marked[k] = True
+            elif tag == "h1" and not inside[k]:
+                marked[self.parent[k]] = marked[self.parent[k]] or self.parent[k] > 0
+        for k in range(1, len(marked)):
+            marked[k] = marked[k] or marked[self.parent[k]]
+        return sum(len(t) for t, links, k in self.blocks if marked[k] and not inside[k] and not self.dropped[k] and links <= MAX_LINKS * len(t))
+
+    def text(self, *paths: str) -> str:
+        """Blocks of all containers on ``paths``, without dropped ones below."""
+        inside = self._inside(paths)
         return "\n\n".join(t for t, _, k in self.blocks if inside[k] and not self.dropped[k])
 
 
@@ -211,7 +249,9 @@ def extract_page(source: str | None, winning: list[str] | None) -> str:
     page = Page(source or "")
     own, there = page.vote()[0], set(page.path)
     found = [p for p in winning or [] if p in there]
-    return page.text(own) if own in found or not found else page.text(*found)
+    if own in found or not found or page.elsewhere(*found) > MOST * page.good()[0]:
+        return page.text(own)
+    return page.text(*found)
 
 
 def host_of(url) -> F.Column:

@@ -47,3 +47,25 @@ def test_nothing_of_an_article_is_cut(spark):
     assert all(got[i] == want(i) for i in range(5)) and got[9] == whole
     assert all(got[10 + i] == "H\n\nWords before.\n\none" for i in range(3))
     assert all(got[20 + i] == (want(i) if i % 2 else "just a body") for i in range(6))
+
+
+WRAPPED = "<body><nav><a href=/>Home</a></nav><div class='{c}'><h1>Title</h1><p>{t}</p><div class='sidebar'><p>Side words.</p></div></div><div id=comments><p>{r}</p></div><footer>f</footer></body>"
+
+
+def test_a_container_with_most_of_a_page_is_kept_whatever_its_name():
+    words = " ".join(["word"] * 60)
+    for c in ("layout has-sidebar", "content-with-sidebar", "post widget-area", "single-post share-enabled", "read-more-wrapper"):
+        assert H.extract_page(WRAPPED.format(c=c, t=words, r="No."), None) == f"Title\n\n{words}", c
+    long = " ".join(["remark"] * 300)
+    assert H.extract_page(WRAPPED.format(c="post", t=words, r=long), None) == f"Title\n\n{words}"
+
+
+def test_an_article_outside_the_winning_path_is_not_lost(spark):
+    words = " ".join(["word"] * 60)
+    usual = "<body><div class=story><h1>T</h1><p>" + words + "</p></div><div class=box><p>Box.</p></div></body>"
+    odd = "<body><div class=story><p>A teaser.</p></div><article class=long><h1>Real</h1><p>" + words + "</p></article></body>"
+    rows = [(i, f"http://a/{i}", usual.replace("<div class=box><p>Box.</p></div>", "")) for i in range(9)] + [(20, "http://a/x", odd), (20, "http://a/x", odd)]
+    got = [(r.page_id, r.text) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got)[-2:] == [(20, f"A teaser.\n\nReal\n\n{words}")] * 2
+    tie = [(1, "http://t/1", "<body><div class=a><p>one</p></div></body>"), (2, "http://t/2", "<body><div class=b><p>two</p></div></body>")]
+    assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(tie, "page_id long, url string, html string")).collect()} == {1: "one", 2: "two"}
