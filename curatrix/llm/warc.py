@@ -14,7 +14,12 @@ it follows member after member.  A record belongs to the range in which its
 member starts, so each is read exactly once wherever the cuts fall; the query
 compares the records read with those written.
 
-Defined cases: a null payload is empty; a null url has no target URI; rows with
+Foreign archives: digests other than SHA-256 are not checked, and the payload's
+SHA-256 is given instead; only blocks that are HTTP messages lose a head; records
+of any type but revisits are read with their payload.
+
+Defined cases: a null payload is empty; a null url has no target URI; a url is
+read back as it was written, percent signs and other characters included; rows with
 a null id sort after all others (they revisit a row with an id); repeated rows
 with the smallest id are all responses; an empty table writes no archive and
 reads as no rows; extra columns are ignored.
@@ -26,7 +31,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +44,8 @@ RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"  # records carry no capture time of their own
+#: Characters that a target URI holds as they are.
+_PRINTABLE = "".join(map(chr, range(33, 127)))
 #: Bytes read and inflated at a time while a header block is looked for.
 _CHUNK = 1 << 16
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -56,7 +63,10 @@ def encode_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes
     block = _HTTP + payload if refers_to is None else _HTTP
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(chr(c) for c in range(33, 127) if chr(c) != '%'))}")
+        uri = quote(url, safe=_PRINTABLE)  # escapes that are there stay as they are
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:
+            head.append(f"X-Target-URL: {quote(url, safe='')}")
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
@@ -151,6 +161,22 @@ def read_range(uri: str, start: int, end: int) -> Iterator[tuple[dict[str, str],
             at, sure = member[1], True
 
 
+def _payload(fields: dict[str, str], block: bytes) -> bytes:
+    """A record's payload: what follows the HTTP head, for blocks that are HTTP messages; otherwise the block."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return block
+    end = block.find(b"\r\n\r\n")
+    return block[end + 4 :] if end >= 0 else b""
+
+
+def _url(fields: dict[str, str]) -> str | None:
+    """The address as the writer had it, else the target URI without the angle brackets that some writers put round it."""
+    if "x-target-url" in fields:
+        return unquote(fields["x-target-url"])
+    uri = fields.get("warc-target-uri")
+    return uri[1:-1] if uri and uri.startswith("<") and uri.endswith(">") else uri
+
+
 def references(pages: DataFrame, *, page_id: str, digest: str, n_bytes: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """digest, first_id of payloads that occur more than once: minima merged before the shuffle, then written, so the join can split hot digests."""
     big = pages.where(F.col(n_bytes) >= min_bytes).groupBy(F.col(digest).alias("payload_digest")).agg(F.min(page_id).alias("first_id"), F.count("*").alias("n"))
@@ -202,14 +228,15 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int, int]], *, ran
                 rows: list[tuple] = []
                 held = 0
                 for fields, block in read_range(r["uri"], r["first"], r["last"]):
-                    body = block[block.find(b"\r\n\r\n") + 4 :]
-                    digest, length = fields.get("warc-payload-digest", "").removeprefix("sha256:"), int(fields.get("x-payload-length", len(body)))
-                    if fields["warc-type"] == "response":
-                        if digest and hashlib.sha256(body).hexdigest() != digest:
+                    body, digest = _payload(fields, block), fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                    length = int(fields.get("x-payload-length", len(body)))
+                    if fields["warc-type"] != "revisit":
+                        length, own = len(body), hashlib.sha256(body).hexdigest()
+                        if fields.get("warc-payload-digest", "").startswith("sha256:") and own != digest.lower():
                             raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
-                        length = len(body)
+                        digest = own
                     number = lambda k, f=fields: int(f[k]) if k in f else None
-                    rows.append((number("x-page-id"), fields.get("warc-target-uri"), length, digest, fields["warc-type"], number("x-refers-to-page-id"), body if with_payload and fields["warc-type"] == "response" else None))
+                    rows.append((number("x-page-id"), _url(fields), length, digest, fields["warc-type"], number("x-refers-to-page-id"), body if with_payload and fields["warc-type"] != "revisit" else None))
                     held += len(body)
                     if held > 16 << 20 or len(rows) >= 5000:
                         yield batch_of(rows)

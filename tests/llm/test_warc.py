@@ -60,3 +60,26 @@ def test_long_headers_lose_no_record(spark, tmp_path):
     assert W.all_read(got, files).count() == len(rows)
     with pytest.raises(ValueError, match="records read"):
         W.all_read(got.where("page_id > 0"), files)
+
+
+def test_addresses_come_back_and_foreign_records_are_read(spark, tmp_path):
+    import gzip
+
+    urls = ["http://a/b%20c", "http://a/é ü", "http://a/" + "x" * 1_000_000, "http://a/%", "http://a/\r\nX-Page-Id: 7", None]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    files = W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "own"))
+    assert {r.page_id: r.url for r in W.read_archives(spark, files, range_bytes=900).collect()} == dict(enumerate(urls))
+
+    def record(kind, content, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Target-URI: <http://x/%41>", *more, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    data = record("warcinfo", "application/warc-fields", b"software: x\r\n") + record("response", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\nbody", "WARC-Payload-Digest: sha1:ABCDEF") + record("resource", "text/plain", b"plain\r\n\r\ntext")
+    path = tmp_path / "foreign.warc.gz"
+    path.write_bytes(data)
+    for cut in (1, 7, 50, 10**6):
+        got = W.read_archives(spark, [(f"file://{path}", len(data), 3)], range_bytes=cut).collect() if cut > 1 else [r for k in range(len(data)) for r in W.read_range(f"file://{path}", k, k + 1)]
+        assert len(got) == 3
+    by = {r.record_type: r for r in got}
+    assert bytes(by["response"].payload) == b"body" and bytes(by["resource"].payload) == b"plain\r\n\r\ntext" and by["resource"].url == "http://x/%41"
+    assert by["response"].payload_digest == hashlib.sha256(b"body").hexdigest()
