@@ -32,7 +32,7 @@ class; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, free_name, stored
 
 THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 24, 5
@@ -217,21 +217,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_roots(roots: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+def weighted_elements(text: str | None) -> np.ndarray:
+    """Elements whose common number is a sum of minima: the k-th occurrence of a shingle is an element of its own."""
+    x, n = np.unique(shingles(text), return_counts=True)
+    each = np.repeat(x, n)
+    nth = np.arange(each.size) - np.repeat(np.cumsum(n) - n, n)
+    return mix(each ^ (nth.astype(np.uint64) * _M3))
+
+
+def similar_roots(roots: np.ndarray, texts: list[str], elements_of: Callable[[str], np.ndarray] = weighted_elements) -> list[tuple[int, int]]:
     """Links between the components of a block: every pair of its texts is compared exactly, as products of set rows.
 
-    The k-th occurrence of a shingle is an element of its own, so a common count
-    of elements is the sum of minima.  A link that joins nothing new is not
-    returned.
+    Elements that the same texts hold are one column with a weight.  A link that
+    joins nothing new is not returned.
     """
-    rows, elements, sizes = [], [], []
-    for i, t in enumerate(texts):
-        x, n = np.unique(shingles(t), return_counts=True)
-        each = np.repeat(x, n)
-        nth = np.arange(each.size) - np.repeat(np.cumsum(n) - n, n)
-        elements.append(mix(each ^ (nth.astype(np.uint64) * _M3)))
-        rows.append(np.full(each.size, i))
-        sizes.append(each.size)
+    elements = [elements_of(t) for t in texts]
+    rows, sizes = [np.full(e.size, i) for i, e in enumerate(elements)], [e.size for e in elements]
     element, row, size = np.concatenate(elements), np.concatenate(rows), np.array(sizes, np.float64)
     _, column, count = np.unique(element, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(count > 1)
@@ -239,14 +240,22 @@ def similar_roots(roots: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
     place[shared] = np.arange(shared.size)
     column = place[column]
     row, column = row[column >= 0], column[column >= 0]
+    held = mix(np.arange(len(texts), dtype=np.uint64) + _M1)  # a column's pattern: the sum of its texts' marks
+    marks = np.zeros(shared.size, np.uint64)
+    np.add.at(marks, column, held[row])
+    _, first, pattern = np.unique(marks, return_index=True, return_inverse=True)
+    weight = np.bincount(pattern, minlength=first.size).astype(np.float32)
+    chosen = np.zeros(shared.size, bool)
+    chosen[first] = True
+    row, column = row[chosen[column]], pattern[column[chosen[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((len(texts), len(texts)), np.float32)
-    for c in range(0, shared.size, 4096):
+    for c in range(0, first.size, 4096):
         i, j = np.searchsorted(column, [c, c + 4096])
         x = np.zeros((len(texts), 4096), np.float32)
         x[row[i:j], column[i:j] - c] = 1
-        common += x @ x.T
+        common += (x * np.pad(weight[c : c + 4096], (0, max(0, c + 4096 - first.size)))) @ x.T
     parent = {int(r): int(r) for r in roots}
 
     def find(r: int) -> int:
@@ -266,7 +275,7 @@ def similar_roots(roots: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _between_components(members: DataFrame) -> DataFrame:
+def between_components(members: DataFrame, elements_of: Callable[[str], np.ndarray] = weighted_elements, block: int = 0) -> DataFrame:
     """Links (a, b) between the components that a bucket still holds, every pair of its texts compared.
 
     members: bucket, root, text, n and size (members and characters of the
@@ -274,12 +283,12 @@ def _between_components(members: DataFrame) -> DataFrame:
     characters is cut into blocks, and each pair of blocks is a group of its own,
     so no task holds more than two blocks.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("size") / BUCKET_CHARS)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / (block or BUCKET_BLOCK)), F.ceil(F.col("size") / BUCKET_CHARS)).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", "root", "text", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def run(table: pa.Table) -> pa.Table:
-        found = similar_roots(table["root"].to_numpy(), table["text"].to_pylist())
+        found = similar_roots(table["root"].to_numpy(), table["text"].to_pylist(), elements_of)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return spread.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
@@ -307,7 +316,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     placed = stored(placed.join(nodes.select("id", "n_chars"), "id"), "neardup-placed")
     mixed = stored(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum("n_chars").alias("size")).where("x < y").select("bucket", "n", "size"), "neardup-mixed")
-    more = _between_components(placed.join(mixed, "bucket").join(texts, "id").select("bucket", "id", "root", "text", "n", "size"))
+    more = between_components(placed.join(mixed, "bucket").join(texts, "id").select("bucket", "id", "root", "text", "n", "size"))
     above = components(more, "neardup-more").toDF("root", "above")
     roots = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(above.join(roots.select(F.col("node").alias("root")), "root", "left_anti"))
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
@@ -328,6 +337,7 @@ def op3_neardup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class (the one with the smallest id), with all its columns."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-docs")
-    gone = near_duplicates(numbered, row="_row").where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "neardup-docs")
+    gone = near_duplicates(numbered, row=row).where(~F.col("kept")).select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
