@@ -60,3 +60,32 @@ def test_block_max_is_exact():
         q[at] = w
         _, cos = m.index.nearest(at, w, 15)
         assert np.allclose(cos, np.sort(v @ q)[::-1][:15])
+
+
+def test_scores_equal_dense_cosines_end_to_end(spark):
+    """Votes over all examples by dense products, with the same terms and knots; ties and very long texts included."""
+    docs, labels = _corpus(300, 9)
+    docs += [(900, docs[0][1]), (901, docs[0][1]), (902, " ".join([docs[1][1]] * 400))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model, found = T.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in T.score(found, model).collect()}
+    reader = T.Vectors(model.vocabulary)
+    examples = np.zeros((len(model.ids), len(model.vocabulary)))
+    texts = dict(docs)
+    for k, i in enumerate(model.ids):
+        at, w = T.weigh(reader.counts(texts[i]), model.idf)
+        examples[k, at] = w
+    for i, t in docs:
+        counts = reader.counts(t)
+        if not counts:
+            assert got[i] == model.bare
+            continue
+        at, w = T.weigh(counts, model.idf)
+        q = np.zeros(len(model.vocabulary))
+        q[at] = w
+        cos = examples @ q
+        best = np.lexsort((np.arange(len(cos)), -np.round(cos, 12)))[: T.K]
+        best = best[cos[best] > 0]
+        want = float(np.interp(T.vote(cos[best], model.labels[best]), *model.knots))
+        assert abs(got[i] - want) < 0.05 or abs(np.sort(cos)[::-1][T.K - 1] - np.sort(cos)[::-1][T.K]) < 1e-9
+    assert got[900] == got[901] == got[docs[0][0]]
