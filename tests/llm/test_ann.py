@@ -50,3 +50,18 @@ def test_recall_with_unequal_norms():
         s[np.arange(len(queries)), queries] = -np.inf
         best = np.argsort(-s, axis=1)[:, :20]
         assert np.mean([len(set(best[q]) & set(j[i == q])) / 20 for q in range(len(queries))]) >= 0.95
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (5, [0.5, 0.5]), (5, [0.5, 0.5])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(docs, F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted([(20, 1, 20, 1.0), (20, 2, 5, 0.5), (20, 3, 5, 0.5)] * 2)
+
+
+def test_only_some_rows_are_candidates():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    share = [len(rows) / len(x) for rows in ann.Tables(x).candidates(x[::200], 20)]
+    assert 0.2 < np.mean(share) < 0.75
