@@ -53,9 +53,15 @@ def apportion(cells: list[tuple[str, Fraction | int]], seats: int) -> dict[str,
 
 
 def apportion_rows(cells: DataFrame, name: str, share: str, seats: int) -> DataFrame:
-    """The same for integer shares as a top-k: priorities share / (2k + 1), compared exactly as share * M / (2k + 1)."""
+    """The same for integer shares as a top-k of the priorities share / (2k + 1).
+
+    Two different priorities differ by at least 1 / (2 * seats)^2, so quotients of
+    eleven decimal places order them exactly up to 100,000 seats.
+    """
+    if seats > 100_000:
+        raise ValueError("more seats than priorities can be told apart for")
     steps = cells.select(name, share, F.explode(F.sequence(F.lit(0), F.lit(seats - 1))).alias("k"))
-    priority = F.col(share).cast("double") / (2 * F.col("k") + 1)
+    priority = F.col(share).cast("decimal(19,0)") / (2 * F.col("k") + 1).cast("decimal(10,0)")
     won = steps.where(F.col(share) > 0).orderBy(F.desc(priority), name).limit(seats).groupBy(name).agg(F.count("*").alias("seats"))
     return cells.select(name, share).join(won, name, "left").select(name, share, F.coalesce("seats", F.lit(0)).alias("seats"))
 

@@ -9,13 +9,13 @@ from .ranking import rank_key
 
 
 def twin_groups(df: DataFrame, keys: list[Column], member: str) -> DataFrame:
-    """Rows that share all keys with another row (nulls equal nulls), with the size of their group.
+    """Rows that share all keys with another row (nulls equal nulls and nothing else), with the size of their group.
 
     Groups are counted with merged partial counts and joined back, so a large
     group is split by adaptive execution, not windowed in one task.
     """
-    named = df.select(member, *[F.coalesce(k.cast("string"), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)])
-    ks = [f"k{i}" for i in range(len(keys))]
+    named = df.select(member, F.to_json(F.array(*[k.cast("string") for k in keys])).alias("_keys"))  # a null is no text there
+    ks = ["_keys"]
     sizes = named.groupBy(*ks).agg(F.count("*").alias("group_size")).where("group_size > 1")
     return named.join(sizes, ks).drop(*ks)
 
@@ -42,20 +42,24 @@ def donors(df: DataFrame, group: list[str], title: str, member: str) -> DataFram
 
 
 def blocked_pairs(df: DataFrame, member: str, keys: Column) -> DataFrame:
-    """Candidate pairs (lo, hi) of rows sharing a blocking key, each once."""
+    """Candidate pairs (lo, hi) of rows sharing a blocking key, each once.
+
+    A block's pairs are its rows' comparisons, so keys must be selective; the
+    join on the key lets adaptive execution split a large block.
+    """
     exploded = df.select(member, F.explode(F.array_distinct(keys)).alias("block")).where("block is not null")
     l, r = exploded.select(F.col(member).alias("lo"), "block"), exploded.select(F.col(member).alias("hi"), "block")  # noqa: E741
     return l.join(r, "block").where("lo < hi").select("lo", "hi").distinct()
 
 
-def blocking_stats(df: DataFrame, member: str, keys: Column) -> DataFrame:
-    """population, buckets, pairs_possible, pairs_resolved, pairs_skipped."""
+def blocking_stats(df: DataFrame, member: str, keys: Column, pairs: DataFrame | None = None) -> DataFrame:
+    """population, buckets, pairs_possible, pairs_resolved, pairs_skipped; ``pairs``: those of blocked_pairs, if at hand."""
     n = df.agg(F.count("*").alias("population"))
-    exploded = df.select(member, F.explode(F.array_distinct(keys)).alias("block")).where("block is not null")
+    exploded = df.select(F.explode(F.array_distinct(keys)).alias("block")).where("block is not null")
     buckets = exploded.agg(F.count_distinct("block").alias("buckets"))
-    pairs = blocked_pairs(df, member, keys).agg(F.count("*").alias("pairs_resolved"))
-    possible = (F.col("population") * (F.col("population") - 1) / 2).cast("long")
-    return n.crossJoin(buckets).crossJoin(pairs).select("population", "buckets", possible.alias("pairs_possible"), "pairs_resolved", (possible - F.col("pairs_resolved")).alias("pairs_skipped"))
+    resolved = (blocked_pairs(df, member, keys) if pairs is None else pairs).agg(F.count("*").alias("pairs_resolved"))
+    possible = F.expr("population * (population - 1) div 2")
+    return n.crossJoin(buckets).crossJoin(resolved).select("population", "buckets", possible.alias("pairs_possible"), "pairs_resolved", (possible - F.col("pairs_resolved")).alias("pairs_skipped"))  # three rows of one
 
 
 def collateral(df: DataFrame, changed: DataFrame, keys: list[str], member: str) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import corrupt, generate, hierarchy, screen, truth, world
+from curatrix.operators import corrupt, delta, generate, hierarchy, screen, truth, world
 from curatrix.sources import readers, schema, sinks
 from curatrix.sources.provider import Catalogue, Correctable
 
@@ -146,3 +146,41 @@ def test_sinks(spark, items, tmp_path):
     with pytest.raises(readers.DigestMismatch):
         readers.verify(spark, out, {k: "0" for k in digests})
     assert schema.stubs(items).columns == ["item_id", "media_kind", "title", "year"]
+
+
+def test_reasons_of_predicates(items, roots):
+    got = {(r.item_key, c.predicate): (c.status, c.reason) for r in screen.catalogue_checks(items, roots).collect() for c in r.checks}
+    assert got["p:1:107", "summary_present"] == ("fail", "summary_empty") and got["p:1:107", "resolvable_id_present"] == ("fail", "no_resolvable_id")
+    assert got["p:1:103", "filename_matches_metadata"] == ("fail", "title_mismatch") and got["p:1:107", "filename_matches_metadata"] == ("unavailable", "no_file_parts")
+    assert got["p:4:411", "single_part"] == ("fail", "multiple_parts") and got["p:1:105", "no_title_year_twin"] == ("fail", "title_year_twin")
+    assert got["p:4:401", "no_author_name_twin"] == ("fail", "author_name_twin") and got["p:1:101", "title_matches_authority"] == ("unavailable", "no_authority")
+    assert got["p:2:2111", "season_membership_coherent"] == ("pass", None) and got["p:1:101", "single_part"] == ("not_applicable", None)
+    odd = items.withColumn("parent_key", F.when(F.col("item_key") == "p:2:2111", "gone").when(F.col("item_key") == "p:2:2112", F.lit(None)).otherwise(F.col("parent_key")))
+    odd = odd.withColumn("parent_index", F.when(F.col("item_key") == "p:2:2121", F.lit(None)).when(F.col("item_key") == "p:2:2122", 7).otherwise(F.col("parent_index"))).withColumn("index", F.when(F.col("item_key") == "p:2:2122", F.lit(None)).otherwise(F.col("index")))
+    got = {(r.item_key, c.predicate): (c.status, c.reason) for r in screen.catalogue_checks(odd, None).collect() for c in r.checks}
+    assert [got[f"p:2:21{k}", "season_membership_coherent"][1] for k in ("11", "12", "21", "22")] == ["parent_not_exported", "no_parent", "season_index_missing", "season_mismatch"]
+    assert got["p:2:202", "season_membership_coherent"] == ("unavailable", "no_episodes_exported") and got["p:2:203", "season_membership_coherent"] == ("fail", "season_mismatch")
+    assert got["p:2:2122", "filename_matches_metadata"] == ("unavailable", "episode_numbering_missing") and got["p:1:101", "no_title_year_twin"] == ("unavailable", "no_population_index")
+
+
+def test_propagation_leaves_null_copies_alone(items):
+    season = F.col("media_kind") == "season"
+    held = items.withColumn("parent_title", F.when(F.col("item_key") == "p:2:203", F.lit(None)).otherwise(F.col("parent_title")))
+    new = held.where("item_key = 'p:2:203'").withColumn("item_key", F.lit("new"))
+    stale = held.where("item_key = 'p:2:202'").withColumn("item_key", F.lit("new2")).withColumn("parent_title", F.lit("old"))
+    renamed = held.withColumn("title", F.when(F.col("media_kind") == "show", "Renamed").otherwise(F.col("title"))).union(new).union(stale)
+    got = {r.item_key: r.parent_title for r in hierarchy.propagate(held, renamed).where(season).collect()}
+    assert got == {"p:2:202": "Renamed", "p:2:203": None, "new": None, "new2": "Renamed"}
+
+
+def test_delta_preconditions(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    change = lambda *r: spark.createDataFrame(list(r), "key long, kind string, path string, before string, after string")
+    base, none = rows((1, "a"), (2, "b")), rows()
+    assert sorted(map(tuple, delta.apply_delta(base, change((1, "modify", "/v", "a", "x"), (2, "remove", "", None, None), (3, "add", "", None, None)), rows((3, "n")), "k", ["v"], rows((2, "b"))).collect())) == [(1, "x"), (3, "n")]
+    for changes, added, removed in [
+        (change((1, "modify", "/v", "z", "x")), none, None), (change((9, "modify", "/v", "z", "x")), none, None), (change((9, "remove", "", None, None)), none, None),
+        (change((1, "add", "", None, None)), rows((1, "q")), None), (change((3, "add", "", None, None)), none, None), (change((2, "remove", "", None, None)), none, rows((2, "other"))),
+    ]:
+        with pytest.raises(Exception, match="precondition|already there|not there|without a record|another record"):
+            delta.apply_delta(base, changes, added, "k", ["v"], removed).collect()

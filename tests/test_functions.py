@@ -53,16 +53,27 @@ def test_guids(spark):
     assert [(g.namespace, g.value) for g in many] == [("imdb", "t"), ("plex", "b"), ("tmdb", "2")]
 
 
-def test_release_names():
-    r = parse.release_name("/x/Blade.Runner.2049.2017.1080p.WEB-DL.mkv")
-    assert (r["title"], r["year"], r["tags"]) == ("Blade Runner 2049", 2017, ["1080p"]) or (r["title"], r["year"]) == ("Blade Runner 2049", 2017)
-    r = parse.release_name("Show.Name.S01E02.720p.mkv")
-    assert (r["title"], r["season"], r["episode"], r["tags"]) == ("Show Name", 1, 2, ["720p"])
-    r = parse.release_path("/m/Amelie (2001)/movie.mkv")
-    assert (r["title"], r["year"], r["source"]) == ("Amelie", 2001, "Amelie (2001)")
-    r = parse.release_path("/t/Cowboy Bebop/Season 1/S01E02.mkv")
-    assert (r["title"], r["season"], r["episode"]) == ("Cowboy Bebop", 1, 2)
-    assert parse.release_path("")["title"] == "" and parse.release_path("/b/Book/CD1.m4b")["title"] == "Book"
+def test_release_names(spark):
+    names = [
+        "/x/Blade.Runner.2049.2017.1080p.WEB-DL.mkv", "Show.Name.S01E02.720p.mkv", "2001 A Space Odyssey (1968) [1080p].mkv", "Spider-Man.2002.x264-GRP.mkv", "a_b - [c].mkv", "", "/d/.mkv", "1984.mkv", "Film 12001 x.mkv", "Über Straße 2010 - Extended.avi", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, v string").coalesce(1)
+    got = [r.c for r in df.select("i", parse.parse_release_name(F.col("v")).alias("c")).orderBy("i").collect()]
+    assert (got[0].title, got[0].year, got[0].tags, got[0].source) == ("Blade Runner 2049", 2017, ["1080p"], "Blade.Runner.2049.2017.1080p.WEB-DL.mkv") or got[0].tags == ["1080p", "web"]
+    assert (got[1].title, got[1].season, got[1].episode, got[1].tags) == ("Show Name", 1, 2, ["720p"])
+    assert (got[2].title, got[2].year) == ("2001 A Space Odyssey", 1968) and (got[3].title, got[3].year, got[3].tags) == ("Spider-Man", 2002, ["x264"])
+    assert [g.title for g in got[4:10]] == ["a b - c", "", "", "", "Film 12001 x", "Über Straße"] and got[7].year == 1984 and got[8].year is None and got[9].tags == ["extended"]
+    assert got[10] is None
+    paths = {"/m/Amelie (2001)/movie.mkv": ("Amelie", 2001, None), "/t/Cowboy Bebop/Season 1/S01E02.mkv": ("Cowboy Bebop", None, 1), "": ("", None, None), "/b/Book/CD1.m4b": ("Book", None, None), "/x/Other 1990/A.Film.1972.720p.mkv": ("A Film", 1972, None)}
+    rows = spark.createDataFrame([(k,) for k in paths], "v string").coalesce(1).select("v", parse.parse_release_path(F.col("v")).alias("c")).collect()
+    assert {r.v: (r.c.title, r.c.year, r.c.season) for r in rows} == paths
+    assert {r.v: r.c.source for r in rows}["/m/Amelie (2001)/movie.mkv"] == "Amelie (2001)"
+
+
+def test_strongest_place_in_a_path(spark):
+    rows = [("/m/Solaris (1972)/x [Final Cut].mkv", "final cut"), ("/a/b.mkv", "Nothing"), (None, "x"), ("/a/b.mkv", None)]
+    got = [r.s for r in spark.createDataFrame(rows, "p string, w string").coalesce(1).select(text.find_in_path(F.col("p"), F.col("w")).alias("s")).collect()]
+    assert (got[0].strength, got[0].matched) == ("normalized", "Final Cut") and got[1].strength in ("none", "fuzzy") and got[2].strength == got[3].strength == "none"
 
 
 def test_pointers():
@@ -83,4 +94,4 @@ def test_every_document_is_folded(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     fold = lambda v: " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v).casefold()).split())
     want = {i: None if t is None else hashlib.sha256(fold(t).encode()).hexdigest() for i, t, _ in rows}
-    assert {r.doc_id: r.folded for r in Q.QUERIES["fold_text_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.folded for r in Q.QUERIES["fold_text"](spark, str(tmp_path)).collect()} == want

@@ -73,7 +73,7 @@ def test_every_customer_has_a_place_without_one_partition(spark):
     held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        df = Q.QUERIES["item_key_order_all"](spark, SF)
+        df = Q.QUERIES["item_key_order"](spark, SF)
         got = [(r.place, r.key) for r in df.collect()]
         assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
     finally:
