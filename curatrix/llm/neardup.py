@@ -275,15 +275,15 @@ def similar_roots(roots: np.ndarray, texts: list[str], elements_of: Callable[[st
     return out
 
 
-def between_components(members: DataFrame, elements_of: Callable[[str], np.ndarray] = weighted_elements, block: int = 0) -> DataFrame:
+def between_components(members: DataFrame, elements_of: Callable[[str], np.ndarray] = weighted_elements, block: int = 0, chars: int = 0) -> DataFrame:
     """Links (a, b) between the components that a bucket still holds, every pair of its texts compared.
 
     members: bucket, root, text, n and size (members and characters of the
     bucket).  A bucket beyond ``BUCKET_BLOCK`` members or ``BUCKET_CHARS``
-    characters is cut into blocks, and each pair of blocks is a group of its own,
+    characters (or ``block`` and ``chars``) is cut into blocks, and each pair of blocks is a group of its own,
     so no task holds more than two blocks.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / (block or BUCKET_BLOCK)), F.ceil(F.col("size") / BUCKET_CHARS)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / (block or BUCKET_BLOCK)), F.ceil(F.col("size") / (chars or BUCKET_CHARS))).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", "root", "text", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
