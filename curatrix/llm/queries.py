@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, licences, linededup, lm, neardup, pack, toxicity, warc
+from . import ann, decontaminate, exactdedup, html, licences, linededup, lm, neardup, pack, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_linededup": linededup.op8_linededup,
         "op9_licences": licences.op9_licences,
         "op10_extract": html.op10_extract,
+        "op13_exactdedup": exactdedup.op13_exactdedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op13_exactdedup": exactdedup.OP13_SQL}
