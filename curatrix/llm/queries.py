@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, exactdedup, html, lexical, licences, linededup, lm, neardup, pack, toxicity, warc
+from . import ann, decontaminate, exactdedup, html, lexical, licences, linededup, lm, neardup, pack, repair, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_linededup": linededup.op8_linededup,
         "op9_licences": licences.op9_licences,
         "op10_extract": html.op10_extract,
+        "op11_repair": repair.op11_repair,
         "op12_lexical": lexical.op12_lexical,
         "op13_exactdedup": exactdedup.op13_exactdedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op12_lexical": lexical.OP12_SQL, "op13_exactdedup": exactdedup.OP13_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op11_repair": repair.OP11_SQL, "op12_lexical": lexical.OP12_SQL, "op13_exactdedup": exactdedup.OP13_SQL}
