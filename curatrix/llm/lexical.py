@@ -1,10 +1,10 @@
 """Ranked lexical search: integer scores of whole documents for query items.
 
 Postings are a DataFrame bucketed by term.  Tasks invert their documents in
-blocks of bounded size, so a row is one term's postings in one block: the rows of
-the block that hold it, their ids, occurrences and lengths.  A term that every
-document holds is thus as many rows as there are blocks, dealt over tasks and
-files by size.  ``search`` reads the buckets of the items' terms, joins the terms,
+blocks of bounded size, so a row is one term's postings in one block: the places
+of the documents that hold it and its occurrences; one more row a block holds its
+documents' ids and lengths.  A term that every document holds is thus as many rows
+as there are blocks, dealt over tasks and files by size.  ``search`` reads the buckets of the items' terms, joins the terms,
 weighs each match in 64-bit integers, sums by item and document inside the block
 (no row is shuffled for that but the matched lists) and ranks with a window whose
 limit Spark applies before its shuffle.
@@ -41,7 +41,8 @@ _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: What each byte of UTF-8 counts as: itself, its lower case, or a blank.
 BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 32 for b in range(256))
 
-POSTINGS = "block long, term string, n_docs long, n_terms long, places array<int>, ids array<long>, tfs array<int>, lens array<int>"
+#: ``posts``: place in the block and occurrences, 32 bits each; the block's own row has no term, but ids and lens.
+POSTINGS = "block long, term string, posts array<long>, ids array<long>, lens array<int>"
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -71,22 +72,15 @@ def _inverted(block: int, ids: pa.Array, texts: list[bytes | None]) -> pa.Record
     keys, tfs = np.unique(codes * len(texts) + np.repeat(np.arange(len(texts)), lens), return_counts=True)
     of, places = keys // len(texts), keys % len(texts)
     starts = np.flatnonzero(np.diff(of, prepend=-1))
-    offsets = pa.array(np.append(starts, of.size).astype(np.int32))
-    n_docs = np.zeros(starts.size, np.int64)
-    n_docs[0] = np.count_nonzero(lens)  # stated once a block
-
-    def lists(values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(offsets, values)
-
-    columns = [
-        pa.array(np.full(starts.size, block)), coded.dictionary.cast(pa.string()), pa.array(n_docs), pa.array(np.add.reduceat(tfs, starts).astype(np.int64)),
-        lists(pa.array(places.astype(np.int32))), lists(ids.cast(pa.int64()).take(pa.array(places))), lists(pa.array(tfs.astype(np.int32))), lists(pa.array(lens[places].astype(np.int32))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "n_docs", "n_terms", "places", "ids", "tfs", "lens"])
+    posts = pa.ListArray.from_arrays(pa.array(np.append(starts, of.size).astype(np.int32)), pa.array(places << 32 | tfs))
+    n = starts.size
+    one = [pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, posts.type), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32()))]
+    rows = [pa.array(np.full(n, block)), coded.dictionary.cast(pa.string()), posts, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(one, rows, strict=True)], names=["block", "term", "posts", "ids", "lens"])
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, text) -> the postings, a row for each term of each block; n_docs and n_terms sum to N and L."""
+    """(id, text) -> the postings: a row for each block and for each term of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -101,7 +95,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bucket(term: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS))).cast("int")
 
 
 def index(docs: DataFrame, path: str) -> DataFrame:
@@ -136,21 +130,25 @@ def impact(tf: F.Column, length: F.Column, n: int, total: int) -> F.Column:
 
 def search(found: DataFrame, items: DataFrame, *, top: int = TOP) -> DataFrame:
     """The ``top`` documents of each row (item_id, text): item_id, rank, doc_id, score."""
-    n, total = found.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    blocks = found.where("bucket = -1").select("block", "ids", "lens")
+    lengths = blocks.select(F.size(F.filter("lens", lambda x: x > 0)).alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l"))
+    n, total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0))).first()
     rows = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.monotonically_increasing_id()), "lexical-items")
     asked = stored(query_terms(rows), "lexical-terms")
     buckets = [r[0] for r in asked.select(bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS at most
     read = found.where(F.col("bucket").isin(buckets))
-    df = read.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+    df = read.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("posts")).alias("df"))
     weighed = asked.join(df, "term").withColumn("w", weight(F.lit(n), F.col("df")) * F.col("repeats")).where("w > 0")
     pieces = -(-rows.count() // ITEMS) or 1  # of a term's items, so that no list grows with the items
     weighed = weighed.groupBy("term", F.pmod(F.xxhash64("item"), F.lit(pieces)).alias("piece"))
     hits = stored(weighed.agg(F.collect_list(F.struct("item", "item_id", "w")).alias("hits")).drop("piece"), "lexical-hits")
-    matched = read.join(hits, "term").select("block", "hits", F.arrays_zip("places", "ids", "tfs", "lens").alias("posts")).repartition("block")
-    # no list is empty; the outer forms spare a filter that zips the lists once more
-    each = matched.select("block", "hits", F.explode_outer("posts").alias("p")).select("block", "p.places", "p.ids", impact(F.col("p.tfs"), F.col("p.lens"), n, total or 1).alias("impact"), F.explode_outer("hits").alias("h"))
-    sums = each.groupBy("block", "places", "h.item").agg(F.sum(F.col("impact") * F.col("h.w")).alias("score"), F.max("ids").alias("doc_id"), F.max("h.item_id").alias("item_id"))
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc_id"), "block", "places")
+    matched = read.join(hits, "term").select("block", "hits", "posts").repartition("block").join(blocks, "block")
+    # no list is empty; the outer forms spare a filter that reads the lists once more
+    each = matched.select("block", "hits", "ids", "lens", F.explode_outer("posts").alias("p")).withColumn("place", F.shiftright("p", 32).cast("int"))
+    tf = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
+    each = each.select("block", "place", F.get("ids", F.col("place")).alias("id"), impact(tf, F.get("lens", F.col("place")), n, total or 1).alias("impact"), F.explode_outer("hits").alias("h"))
+    sums = each.groupBy("block", "place", "h.item").agg(F.sum(F.col("impact") * F.col("h.w")).alias("score"), F.max("id").alias("doc_id"), F.max("h.item_id").alias("item_id"))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc_id"), "block", "place")
     ranked = sums.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     discard(asked)
     return ranked.select("item_id", "rank", "doc_id", "score")

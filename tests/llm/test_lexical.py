@@ -62,7 +62,6 @@ def test_equals_brute_force(spark, tmp_path):
 @pytest.mark.parametrize("size", [(100, 4096), (8 << 20, 3)])
 def test_results_do_not_depend_on_blocks(spark, tmp_path, monkeypatch, size):
     """Frequent terms over many blocks; closures read the sizes when they run in this process, so blocks are cut here."""
-    import numpy as np
     import pyarrow as pa
 
     monkeypatch.setattr(L, "BLOCK_BYTES", size[0])
@@ -72,9 +71,9 @@ def test_results_do_not_depend_on_blocks(spark, tmp_path, monkeypatch, size):
     blocks = list(L._blocks(batch))
     assert len(blocks) > 1 and [i for ids, _ in blocks for i in ids.to_pylist()] == list(range(25))
     rows = [r for b, (ids, t) in enumerate(blocks) if (m := L._inverted(b, ids, t)) is not None for r in m.to_pylist()]
-    held = sorted((i, r["term"], tf, n) for r in rows for i, tf, n in zip(r["ids"], r["tfs"], r["lens"], strict=True))
+    own = {r["block"]: r for r in rows if r["term"] is None}
+    held = sorted((own[r["block"]]["ids"][p >> 32], r["term"], p & 0xFFFFFFFF, own[r["block"]]["lens"][p >> 32]) for r in rows if r["term"] is not None for p in r["posts"])
     assert held == sorted((k, t, c, len(terms(x))) for k, x in enumerate(texts) for t, c in Counter(terms(x)).items())
-    assert sum(r["n_docs"] for r in rows) == 15 and sum(r["n_terms"] for r in rows) == int(np.sum([len(terms(t)) for t in texts]))
 
 
 def test_empty_tables(spark, tmp_path):
