@@ -34,9 +34,11 @@ from .common import discard, fresh_path, stored
 TOP = 20
 BUCKETS = 64
 #: Bytes of text and documents of a block.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 4096
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: Items of a term that stand in one row.
 ITEMS = 1024
+#: Sums of item and document that a task holds, as long as it has more than one block.
+SUMS = 500_000
 _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: What each byte of UTF-8 counts as: itself, its lower case, or a blank.
 BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 32 for b in range(256))
@@ -132,17 +134,19 @@ def search(found: DataFrame, items: DataFrame, *, top: int = TOP) -> DataFrame:
     """The ``top`` documents of each row (item_id, text): item_id, rank, doc_id, score."""
     blocks = found.where("bucket = -1").select("block", "ids", "lens")
     lengths = blocks.select(F.size(F.filter("lens", lambda x: x > 0)).alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l"))
-    n, total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0))).first()
+    n, total, n_blocks = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0)), F.count(F.lit(1))).first()
     rows = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.monotonically_increasing_id()), "lexical-items")
     asked = stored(query_terms(rows), "lexical-terms")
     buckets = [r[0] for r in asked.select(bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS at most
     read = found.where(F.col("bucket").isin(buckets))
     df = read.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("posts")).alias("df"))
     weighed = asked.join(df, "term").withColumn("w", weight(F.lit(n), F.col("df")) * F.col("repeats")).where("w > 0")
-    pieces = -(-rows.count() // ITEMS) or 1  # of a term's items, so that no list grows with the items
+    n_items = rows.count()
+    pieces = -(-n_items // ITEMS) or 1  # of a term's items, so that no list grows with the items
+    tasks = max(1, min(n_blocks, n * n_items // SUMS))
     weighed = weighed.groupBy("term", F.pmod(F.xxhash64("item"), F.lit(pieces)).alias("piece"))
     hits = stored(weighed.agg(F.collect_list(F.struct("item", "item_id", "w")).alias("hits")).drop("piece"), "lexical-hits")
-    matched = read.join(hits, "term").select("block", "hits", "posts").repartition("block").join(blocks, "block")
+    matched = read.join(hits, "term").select("block", "hits", "posts").repartition(tasks, "block").join(blocks, "block")
     # no list is empty; the outer forms spare a filter that reads the lists once more
     each = matched.select("block", "hits", "ids", "lens", F.explode_outer("posts").alias("p")).withColumn("place", F.shiftright("p", 32).cast("int"))
     tf = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
