@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import random
-import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import stored
+
 SEED, CASES_PER_SUBJECT, OVERSAMPLE, MIN_WINDOW = 1518, 3, 3, 8
 
 
@@ -125,11 +126,8 @@ def total_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     The sorted rows are written to the shared folder, so both reads see the same ranges.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/order-{uuid.uuid4().hex}"
-    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())  # range number << 33 | place in the range
-    placed.write.option("compression", "zstd").parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    placed = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "order")  # range number << 33 | place in the range
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
     before, starts = 0, []
     for r in sorted(placed.groupBy("_range").agg(F.count("*").alias("n")).collect()):  # a row a range
         starts.append((r["_range"], before))

@@ -115,7 +115,7 @@ _SCREENED = f"""{_CAT}, {_UP},
 off AS (SELECT anc, count(*) AS eps, count(*) FILTER (WHERE known) AS known, count(*) FILTER (WHERE bad) AS bad FROM (
   SELECT unnest([pk, pgrand]) AS anc, pindex IS NOT NULL AND e.parent_index IS NOT NULL AS known, pindex <> e.parent_index AS bad FROM cat e JOIN up ON pk = e.parent_key AND pkind = 'season' WHERE e.media_kind = 'episode') WHERE anc IS NOT NULL GROUP BY 1),
 num AS (SELECT parent_key AS s, count(index) > 0 AND count(index) = count(DISTINCT index) AND max(index) - min(index) + 1 = count(DISTINCT index) AND min(index) <= 1 AS ok FROM cat WHERE media_kind = 'episode' AND parent_key IS NOT NULL GROUP BY 1),
-cont AS (SELECT anc, bool_and(coalesce(ok, FALSE)) AS ok FROM (SELECT unnest([s, pgrand]) AS anc, ok FROM num LEFT JOIN up ON pk = s AND pkind = 'season') WHERE anc IS NOT NULL GROUP BY 1),
+cont AS (SELECT anc, bool_and(coalesce(ok, FALSE)) AS ok FROM (SELECT unnest([s, pgrand]) AS anc, ok FROM num JOIN up ON pk = s AND pkind = 'season') WHERE anc IS NOT NULL GROUP BY 1),
 same AS (SELECT section_id AS a, media_kind AS b, lower(title) AS c, year AS y, count(*) AS n FROM cat WHERE media_kind IN ('movie', 'show') GROUP BY ALL),
 w AS (SELECT cat.*, up.*, eps, known, bad, cont.ok AS cont, n FROM cat LEFT JOIN up ON pk = parent_key LEFT JOIN off ON off.anc = item_key LEFT JOIN cont ON cont.anc = item_key LEFT JOIN same ON a = section_id AND b = media_kind AND c = lower(title) AND y IS NOT DISTINCT FROM year),
 r AS (SELECT item_key, media_kind,

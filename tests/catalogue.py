@@ -29,13 +29,15 @@ RECORDS = [
     item("202", "season", "Season 1", "201", index=1, parent_title="Cowboy"),
     item("203", "season", "Season 2", "201", index=2, parent_title="Cowboy"),
     *[item(f"21{s}{e}", "episode", f"E{e}", f"20{s + 1}", "201", index=e, parent_index=s, parent_title=f"Season {s}", grandparent_title="Cowboy", files=[f"/t/Cowboy/Season {s}/Cowboy S0{s}E0{e}.mkv"]) for s in (1, 2) for e in (1, 2)],
-    item("401", "author", "Brandon Sanderson", album_count=2),
+    item("401", "author", "Brandon Sanderson", album_count=3),
     item("402", "author", "Sanderson, Brandon", album_count=0),
     item("411", "audiobook", "The Way of Kings", "401", index=1, parent_title="Brandon Sanderson", series="Stormlight", series_position="1", part_count=2, guid="asin://B1"),
     item("412", "audiobook", "Stormlight: Words", "401", index=2, parent_title="Brandon Sanderson", series="Stormlight", series_position="2", part_count=1, guid="asin://B2"),
+    item("413", "audiobook", "Oathbringer", "401", index=3, parent_title="Brandon Sanderson", series="Stormlight", series_position="3", part_count=1, guid="asin://B3"),
     item("421", "audiobook_part", "one", "411", "401", index=1, files=["/b/Stormlight/Book 1 - The Way of Kings/CD1.m4b"]),
     item("422", "audiobook_part", "two", "411", "401", index=2, files=["/b/Stormlight/Book 1 - The Way of Kings/CD2.m4b"]),
     item("423", "audiobook_part", "one", "412", "401", index=1, files=["/b/Stormlight/Book 2 - Words/w.m4b"]),
+    item("424", "audiobook_part", "one", "413", "401", index=1, files=["/b/Stormlight/Oathbringer/CD3.m4b"]),
 ]
 
 
