@@ -461,4 +461,4 @@ def apportion_exact(counts: list[tuple[str, int]], seats: int) -> dict[str, int]
     return ranking.apportion([(n, Fraction(c)) for n, c in counts], seats)
 
 
-from . import cases as _cases, catalogue as _records  # noqa: E402, F401  register their queries
+from . import cases as _cases, catalogue as _records, storage as _storage  # noqa: E402, F401  register their queries

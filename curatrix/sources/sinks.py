@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text
 
@@ -65,6 +70,31 @@ def put_blobs(spark: SparkSession, content: DataFrame, path: str) -> int:
 
 
 def digest_of(lines: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """sha256 of each group's lines in order, each ended by a line feed; a group must fit a row."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: F.concat(x["value"], F.lit("\n")))
-    return lines.groupBy(*group).agg(F.sha2(F.array_join(rows, ""), 256).alias("sha256"))
+    """sha256 and bytes of each group's lines in order, each ended by a line feed.
+
+    A secondary sort: partitions hold whole groups in order, and a digest takes
+    line after line, so a group of any size needs no more memory than a line.
+    """
+    kinds = to_arrow_schema(StructType([lines.schema[g] for g in group] + [StructField("sha256", StringType()), StructField("bytes", LongType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished(key, found, n):
+            return pa.RecordBatch.from_pylist([dict(zip(group, key, strict=True)) | {"sha256": found.hexdigest(), "bytes": n}], kinds)
+
+        last, found, n = None, hashlib.sha256(), 0
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(len(group))]
+            for *key, value in zip(*columns, batch.column(len(group)).cast(pa.binary()), strict=True):
+                key = tuple(key)
+                if last is not None and key != last:
+                    yield finished(last, found, n)
+                    found, n = hashlib.sha256(), 0
+                last, line = key, (value.as_py() or b"") + b"\n"
+                found.update(line)
+                n += len(line)
+        if last is not None:
+            yield finished(last, found, n)
+
+    dealt = lines.repartition(*group).sortWithinPartitions(*group, *order).select(*group, "value")
+    schema = StructType([*[lines.schema[g] for g in group], StructField("sha256", StringType()), StructField("bytes", LongType())])
+    return dealt.mapInArrow(run, schema)
