@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 #: Examples shown for a finding; the rest is counted.
 EXAMPLES = 5
 
@@ -44,7 +46,9 @@ def capped_examples(df: DataFrame, group: str, value: str, cap: int = EXAMPLES)
 
 def classify_sections(df: DataFrame, section: str, packaged: Column, duration: Column, *, share: float = 0.5, least: float = 600_000.0, marked: Column | None = None) -> DataFrame:
     """Sections whose items are mostly packaged and long at the median (or marked by their agent)."""
-    agg = df.groupBy(section).agg(F.avg(packaged.cast("double")).alias("share"), F.median(duration).alias("median"), F.bool_or(marked if marked is not None else F.lit(False)).alias("marked"))
+    agg = df.groupBy(section).agg(F.avg(packaged.cast("double")).alias("share"), F.bool_or(marked if marked is not None else F.lit(False)).alias("marked"))
+    middle = selection.percentiles(df.select(section, duration.alias("_duration")), [section], "_duration", {"median": 0.5}).withColumnRenamed(section, "_section")
+    agg = agg.join(middle, F.col(section).eqNullSafe(F.col("_section"))).select(section, "share", "median", "marked")
     return agg.withColumn("matches", F.col("marked") | ((F.col("share") >= share) & (F.col("median") >= least)))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def _share(condition, of=None) -> F.Column:
     return F.avg(condition.cast("double")) if of is None else F.avg(F.when(of, condition.cast("double")))
@@ -27,9 +29,15 @@ def rates(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def effort(runs: DataFrame, *by: str) -> DataFrame:
-    """Median and 95th percentile of steps and cost, and cost of a hundred cases."""
-    at = lambda c, p, n: F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {c})").alias(n)
-    return runs.groupBy(*by).agg(at("steps", 0.5, "median_steps"), at("steps", 0.95, "p95_steps"), at("cost", 0.5, "median_cost"), at("cost", 0.95, "p95_cost"), (F.avg("cost") * 100).alias("cost_per_100"))
+    """Exact median and 95th percentile of steps and cost, and cost of a hundred cases."""
+    out = runs.groupBy(*by).agg((F.avg("cost") * 100).alias("cost_per_100"))
+    for value in ("steps", "cost"):
+        found = selection.percentiles(runs, list(by), value, {f"median_{value}": 0.5, f"p95_{value}": 0.95}).withColumnsRenamed({b: f"_{b}" for b in by})
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+        out = (out.join(found, same) if by else out.crossJoin(found)).drop(*[f"_{b}" for b in by])  # without groups: one row each
+    return out.select(*by, "median_steps", "p95_steps", "median_cost", "p95_cost", "cost_per_100")
 
 
 def auto_apply(runs: DataFrame, floors: tuple[float, ...]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, pointer, text
-from ..operators import census, delta, hierarchy, ranking, screen, twins
+from ..operators import census, delta, hierarchy, ranking, screen, truth, twins
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -390,11 +390,14 @@ def reverse_delta(spark, d):
     return delta.reverse_delta(after, delta.row_delta(before, after, "o_orderkey", _COLS), before, "o_orderkey", _COLS)
 
 
-@query("must_not_change", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(['brand', 'name', 'size', 'type'], lambda x: NOT list_contains(CASE WHEN p_size % 2 = 0 THEN ['name', 'size'] ELSE ['type'] END, x)) || ['path'])), ',') AS fixed FROM part")
+@query("must_not_change", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(['/brand', '/name', '/size', '/parts/0/path'], lambda x: NOT list_contains(CASE WHEN p_size % 2 = 0 THEN ['/name', '/size'] WHEN p_size % 3 = 0 THEN ['/brand', '/parts/0/path'] ELSE ['/parts/0/path'] END, x) AND (x <> '/parts/0/path')) || CASE WHEN p_size % 2 = 0 THEN ['/parts/*/path'] ELSE [] END)), ',') AS fixed FROM part")
 def must_not_change(spark, d):
-    changed = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("name"), F.lit("size"))).otherwise(F.array(F.lit("type")))
-    fixed = F.array_sort(F.array_union(F.array_except(F.array(*map(F.lit, ("brand", "name", "size", "type"))), changed), F.array(F.lit("path"))))
-    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", F.array_join(fixed, ",").alias("fixed"))
+    """What a repair must leave alone: the places that a witness cites and all files, but for what the edits touched."""
+    p, even = table(spark, d, "part", "p_partkey", "p_size"), F.col("p_size") % 2 == 0
+    paths = F.when(even, F.array(F.lit("/name"), F.lit("/size"))).when(F.col("p_size") % 3 == 0, F.array(F.lit("/brand"), F.lit("/parts/0/path"))).otherwise(F.array(F.lit("/parts/0/path")))
+    edits = p.select(F.col("p_partkey").alias("case_id"), F.lit("modify").alias("kind"), F.explode(paths).alias("path"))
+    cited = p.select(F.col("p_partkey").alias("case_id"), F.explode(F.array(*map(F.lit, ("/brand", "/name", "/size", "/parts/0/path")))).alias("pointer"))
+    return truth.must_not_change(edits, cited).select(F.col("case_id").alias("p_partkey"), F.array_join("must_not_change", ",").alias("fixed"))
 
 
 @query(
