@@ -51,13 +51,6 @@ def run_group(subject) -> F.Column:
     return F.concat(F.lit("grp-"), F.substring(rank_key(subject), 1, 12))
 
 
-def fingerprints(edits: DataFrame, generator_version: str) -> DataFrame:
-    """problem_class, root_key, fingerprint: moves when a case's edits (or the generator) do; edits in the order of item, kind and path."""
-    row = F.to_json(F.struct("item_key", "kind", "path", "before", "after", "record"))
-    per = edits.groupBy("problem_class", "root_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a case's edits: one family
-    return per.select("problem_class", "root_key", F.concat(F.lit("sha256:"), F.sha2(F.concat(F.array_join("rows", "|"), F.lit(f"|{generator_version}")), 256)).alias("fingerprint"))
-
-
 def tickets(subject_rows: DataFrame, labels: list[str], cap: int = CASES_PER_SUBJECT) -> DataFrame:
     """subject, label of the first ``cap`` labels of each subject by hash, issued before targets exist."""
     rows = subject_rows.select("subject", "root_key", F.explode(F.array(*map(F.lit, labels))).alias("label"))

@@ -31,7 +31,8 @@ def snapshot_violations(items: DataFrame, sections: DataFrame, provider: str, pr
     }
     broken = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(p).alias("path"))) for (r, p), c in rules.items()]), lambda x: x.isNotNull())
     of_items = rows.select("item_key", F.explode(broken).alias("v")).select("v.rule", F.col("item_key").alias("subject"), "v.path")
-    twice = sections.groupBy("section_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_section").alias("rule"), F.col("section_id").alias("subject"), F.lit("").alias("path"))
+    counts = sections.groupBy("section_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = counts.select("section_id", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(F.lit("duplicate_section").alias("rule"), F.col("section_id").alias("subject"), F.lit("").alias("path"))  # one for each listing after the first
     odd = sections.where(~F.coalesce(F.col("section_type").isin(*SECTION_KINDS), F.lit(False))).select(F.lit("unmodelled_section"), "section_id", F.lit(""))
     key = F.element_at(F.split("item_key", ":"), -1)
     spread = items.groupBy(key.alias("k")).agg(F.min("section_id").alias("a"), F.max("section_id").alias("b")).where("a < b").select(F.lit("duplicate_rating_key"), "k", F.lit(""))
