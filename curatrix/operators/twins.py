@@ -45,11 +45,21 @@ def blocked_pairs(df: DataFrame, member: str, keys: Column) -> DataFrame:
     """Candidate pairs (lo, hi) of rows sharing a blocking key, each once.
 
     A block's pairs are its rows' comparisons, so keys must be selective; the
-    join on the key lets adaptive execution split a large block.
+    join on the key lets adaptive execution split a large block.  A pair comes
+    from the first key that both rows have, so pairs are never shuffled: what
+    moves is one row a member and key.
     """
-    exploded = df.select(member, F.explode(F.array_distinct(keys)).alias("block")).where("block is not null")
-    l, r = exploded.select(F.col(member).alias("lo"), "block"), exploded.select(F.col(member).alias("hi"), "block")  # noqa: E741
-    return l.join(r, "block").where("lo < hi").select("lo", "hi").distinct()
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: the rows are few for their pairs, and would be merged into a few tasks
+    exploded = _blocks_of(df, member, keys).select("m", "ks", F.explode("ks").alias("block")).repartition(spread, "block")
+    l, r = (exploded.select(F.col("m").alias(m), F.col("ks").alias(f"_{m}"), "block") for m in ("lo", "hi"))  # noqa: E741
+    first = F.get(F.array_intersect("_lo", "_hi"), F.lit(0)) == F.col("block")
+    return l.join(r, "block").where(F.col("lo") < F.col("hi")).where(first).select("lo", "hi")
+
+
+def _blocks_of(df: DataFrame, member: str, keys: Column) -> DataFrame:
+    """m, ks: every member once, with its distinct keys in order."""
+    each = df.where(F.col(member).isNotNull()).select(F.col(member).alias("m"), F.filter(F.array_distinct(keys), lambda k: k.isNotNull()).alias("ks"))
+    return each.groupBy("m").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("ks"))  # a member's keys
 
 
 def blocking_stats(df: DataFrame, member: str, keys: Column, pairs: DataFrame | None = None) -> DataFrame:

@@ -44,3 +44,15 @@ def test_each_pair_of_names_is_compared_once(spark):
 def _members(n: int, most: int):
     r = random.Random(7)
     return [(f"m{i % (n - 3)}", [r.choice("abcdefghijklmno") for _ in range(r.randint(0, most))] + [None]) for i in range(n)] + [(None, ["a"])]
+
+
+def test_a_pair_comes_from_its_first_key_without_a_shuffle_of_pairs(spark):
+    rows = _members(40, 4)
+    df = spark.createDataFrame(rows, "m string, ks array<string>")
+    keys = {}
+    for m, ks in rows:
+        keys.setdefault(m, set()).update(k for k in ks if k)
+    want = sorted((a, b) for a in keys for b in keys if a and b and a < b and keys[a] & keys[b])
+    found = twins.blocked_pairs(df, "m", F.col("ks"))
+    assert sorted(map(tuple, found.collect())) == want
+    assert "keys=[lo" not in plan(found)
