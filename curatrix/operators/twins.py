@@ -62,12 +62,36 @@ def _blocks_of(df: DataFrame, member: str, keys: Column) -> DataFrame:
     return each.groupBy("m").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("ks"))  # a member's keys
 
 
+#: Keys of a member up to which its pairs are counted by sets of keys, 2^n - 1 of them.
+MOST_KEYS = 8
+
+
+def count_pairs(df: DataFrame, member: str, keys: Column) -> DataFrame:
+    """One row, pairs_resolved: how many pairs blocked_pairs has, without making them.
+
+    For every set of keys the members that have all of them are counted; the
+    pairs of a set of odd size are added, those of even size taken away.
+    Members with more than MOST_KEYS keys are paired as blocked_pairs does it.
+    """
+    owned = _blocks_of(df, member, keys).where(F.size("ks") > 0)
+    grown = F.aggregate("ks", F.array(F.array().cast("array<string>")), lambda acc, k: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(k.cast("string"))))))
+    few = F.size("ks") <= MOST_KEYS
+    sets = owned.where(few).select(F.explode(grown).alias("s")).where(F.size("s") > 0).groupBy("s").agg(F.count("*").alias("n"))
+    sign = F.when(F.size("s") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    counted = sets.agg(F.coalesce(F.sum(sign * F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n"))
+    many = owned.where(~few).select("m", "ks", F.explode("ks").alias("block"))
+    other = owned.select(F.col("m").alias("o"), F.col("ks").alias("_o"), F.explode("ks").alias("block"))
+    first = F.get(F.array_intersect("ks", "_o"), F.lit(0)) == F.col("block")
+    rest = many.join(other, "block").where(first & ((F.size("_o") <= MOST_KEYS) | (F.col("m") < F.col("o")))).agg(F.count("*").alias("n"))
+    return counted.union(rest).agg(F.sum("n").alias("pairs_resolved"))
+
+
 def blocking_stats(df: DataFrame, member: str, keys: Column, pairs: DataFrame | None = None) -> DataFrame:
     """population, buckets, pairs_possible, pairs_resolved, pairs_skipped; ``pairs``: those of blocked_pairs, if at hand."""
     n = df.agg(F.count("*").alias("population"))
     exploded = df.select(F.explode(F.array_distinct(keys)).alias("block")).where("block is not null")
     buckets = exploded.agg(F.count_distinct("block").alias("buckets"))
-    resolved = (blocked_pairs(df, member, keys) if pairs is None else pairs).agg(F.count("*").alias("pairs_resolved"))
+    resolved = count_pairs(df, member, keys) if pairs is None else pairs.agg(F.count("*").alias("pairs_resolved"))
     possible = F.expr("population * (population - 1) div 2")
     return n.crossJoin(buckets).crossJoin(resolved).select("population", "buckets", possible.alias("pairs_possible"), "pairs_resolved", (possible - F.col("pairs_resolved")).alias("pairs_skipped"))  # three rows of one
 

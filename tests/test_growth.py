@@ -56,3 +56,9 @@ def test_a_pair_comes_from_its_first_key_without_a_shuffle_of_pairs(spark):
     found = twins.blocked_pairs(df, "m", F.col("ks"))
     assert sorted(map(tuple, found.collect())) == want
     assert "keys=[lo" not in plan(found)
+
+
+@pytest.mark.parametrize("most", [1, 4, 14])
+def test_pairs_are_counted_without_being_made(spark, most):
+    df = spark.createDataFrame(_members(40, most), "m string, ks array<string>")
+    assert twins.count_pairs(df, "m", F.col("ks")).first().pairs_resolved == twins.blocked_pairs(df, "m", F.col("ks")).count()
