@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .stage import stored
 
 SEED, CASES_PER_SUBJECT, OVERSAMPLE, MIN_WINDOW = 1518, 3, 3, 8
+#: Rows that a fold appends to one list.
+FOLD = 512
 
 
 def rank_key(subject: Column, seed: int = SEED, label: Column | None = None) -> Column:
@@ -99,15 +101,27 @@ def greedy_budget(sizes: list[tuple[str, int]], budget: int) -> tuple[list[str],
 
 
 def greedy_budget_rows(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """The same fold per group, in one array expression; a group's list must fit a row."""
+    """The same fold per group, in one array expression; a group's list must fit a row.
+
+    Its list is folded in pieces of FOLD rows: appending to one list would copy
+    all rows before each row.
+    """
     rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,s:bigint,taken:boolean>>").alias("out"))
+    entries = "array<struct<o:bigint,s:bigint,taken:boolean>>"
+    none = F.array().cast(entries)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{entries}>").alias("out"))
 
     def step(acc, x):
         fits = acc["used"] + x["s"] <= budget
         return F.struct((acc["used"] + F.when(fits, x["s"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), x["s"].alias("s"), fits.alias("taken")))).alias("out"))
 
-    folded = rows.select(group, F.aggregate("l", start, step)["out"].alias("out"))
+    def piece(acc, xs):
+        # the piece's fold once, then its list behind the others
+        done = F.transform(F.array(F.aggregate(xs, F.struct(acc["used"].alias("used"), none.alias("out")), step)), lambda f: F.struct(f["used"].alias("used"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
+        return F.element_at(done, 1)
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / FOLD).cast("int")), lambda i: F.slice("l", i * FOLD + 1, F.lit(FOLD)))
+    folded = rows.select(group, F.flatten(F.aggregate(pieces, start, piece)["out"]).alias("out"))
     return folded.select(group, F.explode("out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.s").alias(size), "x.taken")
 
 

@@ -62,3 +62,12 @@ def test_a_pair_comes_from_its_first_key_without_a_shuffle_of_pairs(spark):
 def test_pairs_are_counted_without_being_made(spark, most):
     df = spark.createDataFrame(_members(40, most), "m string, ks array<string>")
     assert twins.count_pairs(df, "m", F.col("ks")).first().pairs_resolved == twins.blocked_pairs(df, "m", F.col("ks")).count()
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 23])
+def test_a_fold_in_pieces_is_the_plain_loop(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "FOLD", 4)
+    sizes = [(i, random.Random(i).randint(0, 9)) for i in range(n)]
+    got = ranking.greedy_budget_rows(spark.createDataFrame([("g", i, s) for i, s in sizes], "g string, i long, s int"), "g", "i", "s", 30).collect()
+    assert [r.i for r in sorted(got, key=lambda r: r.i) if r.taken] == ranking.greedy_budget(sizes, 30)[0]
+    assert len(got) == n
