@@ -71,3 +71,10 @@ def test_a_fold_in_pieces_is_the_plain_loop(spark, monkeypatch, n):
     got = ranking.greedy_budget_rows(spark.createDataFrame([("g", i, s) for i, s in sizes], "g string, i long, s int"), "g", "i", "s", 30).collect()
     assert [r.i for r in sorted(got, key=lambda r: r.i) if r.taken] == ranking.greedy_budget(sizes, 30)[0]
     assert len(got) == n
+
+
+def test_folding_keeps_a_slice_of_a_batch_as_objects(spark, monkeypatch):
+    values = ["ＡB  c", None, "", "Straße　x"] * 50
+    seen = [r.f for r in spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).select(text.fold(F.col("v")).alias("f")).collect()]
+    assert seen == [None if v is None else text.fold_value(v) for v in values]
+    assert text.SLICE < len(values)
