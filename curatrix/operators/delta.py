@@ -39,13 +39,16 @@ def _apply(rows: DataFrame, changes: DataFrame, added: DataFrame, key: str, colu
     at = lambda c: F.col(named[c])
     base = rows.select(*[F.col(c).alias(n) for c, n in named.items()], F.lit(True).alias("_there"))
     fresh = added.select(F.col(key).alias("_newkey"), F.struct(*[F.col(c) for c in rows.columns]).alias("_new"))
-    both = base.join(own, at(key) == F.col("_key"), "full_outer").join(fresh, F.col("_add") & (F.col("_key") == F.col("_newkey")), "left")
+    # records join the changes, whose keys are never null: after the outer join all unchanged rows would meet in one task
+    own = own.join(fresh, F.col("_add") & (F.col("_key") == F.col("_newkey")), "left")
+    if removed is not None:
+        gone = removed.select(F.col(key).alias("_oldkey"), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_old"))
+        own = own.join(gone, F.col("_remove") & (F.col("_key") == F.col("_oldkey")), "left")
+    both = base.join(own, at(key) == F.col("_key"), "full_outer")
     there, what = F.coalesce("_there", F.lit(False)), F.coalesce(F.col("_key").cast("string"), at(key).cast("string"))
     wrong = F.when(F.col("_add") & there, F.concat(F.lit("already there, can't be added: "), what)).when(F.col("_add") & F.col("_newkey").isNull(), F.concat(F.lit("added without a record: "), what))
     wrong = wrong.when(F.col("_remove") & ~there, F.concat(F.lit("not there, can't be removed: "), what)).when(F.col("_key").isNotNull() & ~F.col("_add") & ~F.col("_remove") & ~there, F.concat(F.lit("not there, can't be changed: "), what))
     if removed is not None:
-        gone = removed.select(F.col(key).alias("_oldkey"), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_old"))
-        both = both.join(gone, F.col("_remove") & (F.col("_key") == F.col("_oldkey")), "left")
         same = F.struct(*[at(c).cast("string").alias(c) for c in columns]).eqNullSafe(F.col("_old"))
         wrong = wrong.when(F.col("_remove") & F.col("_oldkey").isNotNull() & ~same, F.concat(F.lit("another record than the one to remove: "), what))
 

@@ -78,3 +78,12 @@ def test_folding_keeps_a_slice_of_a_batch_as_objects(spark, monkeypatch):
     seen = [r.f for r in spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).select(text.fold(F.col("v")).alias("f")).collect()]
     assert seen == [None if v is None else text.fold_value(v) for v in values]
     assert text.SLICE < len(values)
+
+
+def test_unchanged_rows_of_a_delta_do_not_meet_in_one_task(plain):
+    before = plain.range(4000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    after = before.withColumn("v", F.when(F.col("k") % 50 == 0, "w").otherwise(F.col("v"))).union(plain.createDataFrame([(9001, "new")], "k long, v string"))
+    changes = delta.row_delta(before, after, "k", ["v"])
+    done = delta.apply_delta(before, changes, after, "k", ["v"])
+    assert share(done) < 0.5
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, after.collect()))
