@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import text
-from curatrix.operators import delta, ranking, twins
+from curatrix.operators import delta, hierarchy, ranking, twins
 from curatrix.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +87,19 @@ def test_unchanged_rows_of_a_delta_do_not_meet_in_one_task(plain):
     done = delta.apply_delta(before, changes, after, "k", ["v"])
     assert share(done) < 0.5
     assert sorted(map(tuple, done.collect())) == sorted(map(tuple, after.collect()))
+
+
+def _item(key, kind, parent, title="t"):
+    return (key, kind, parent, None, title, None, None, None, None, None, None)
+
+
+ITEM = "item_key string, media_kind string, parent_key string, grandparent_key string, title string, parent_title string, grandparent_title string, child_count int, leaf_count int, album_count int, part_count int"
+
+
+def test_items_without_a_parent_do_not_meet_in_one_task(plain):
+    rows = [_item(f"f{i}", "movie", None) for i in range(2000)] + [_item("s", "show", None, "S"), _item("a", "season", "s", "A"), _item("e", "episode", "a"), _item("x", "episode", "gone")]
+    found = hierarchy.derive_copies(plain.createDataFrame(rows, ITEM))
+    assert share(found) < 0.5
+    told = {r.item_key: r for r in found.where("media_kind <> 'movie'").collect()}
+    assert (told["e"].d_grandparent_title, told["e"].d_grandparent_key, told["e"].d_parent_title) == ("S", "s", "A")
+    assert (told["s"].d_child_count, told["s"].d_leaf_count, told["x"].d_parent_title) == (1, 1, None)
