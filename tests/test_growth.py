@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import text
-from curatrix.operators import delta, hierarchy, ranking, twins
+from curatrix.operators import delta, hierarchy, ranking, screen, twins
 from curatrix.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,13 @@ def test_items_without_a_parent_do_not_meet_in_one_task(plain):
     told = {r.item_key: r for r in found.where("media_kind <> 'movie'").collect()}
     assert (told["e"].d_grandparent_title, told["e"].d_grandparent_key, told["e"].d_parent_title) == ("S", "s", "A")
     assert (told["s"].d_child_count, told["s"].d_leaf_count, told["x"].d_parent_title) == (1, 1, None)
+
+
+def test_screening_folds_titles_of_roots_alone(spark):
+    """Titles of films and shows go through Python, those of seasons and episodes don't."""
+    from curatrix.plans import catalogue
+
+    items = catalogue.records(spark, SF).where("media_kind in ('season', 'episode')")
+    assert "ArrowEvalPython" not in plan(screen.file_claims(items).limit(1)) or screen.file_claims(items).isEmpty()
+    checked = screen.catalogue_checks(items, None).where("media_kind = 'episode'")
+    assert "ArrowEvalPython" not in plan(checked.select("item_key", "checks"))
