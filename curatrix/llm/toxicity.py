@@ -36,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, stored
+from .common import stored
 
 #: Bound of the labelled sample, of selected terms; least chi-square; neighbours; examples a block.
 MAX_TRAIN, MAX_TERMS, MIN_CHI2, K, BLOCK = 8000, 2048, 30.0, 15, 64
@@ -224,8 +225,8 @@ def vectors(docs: DataFrame, vocabulary: list[str], text: str = "text") -> DataF
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], names=[*names, "terms", "counts"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, fields + "terms array<int>, counts array<int>")
+    numbers = T.ArrayType(T.IntegerType())
+    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name != text]).add("terms", numbers).add("counts", numbers))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, label: str, trains, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -269,8 +270,8 @@ def score(found: DataFrame, model: Model) -> DataFrame:
             got = [m.score(dict(zip(t.as_py(), c.as_py(), strict=True))) for t, c in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)], names=[*names, "score", "neighbours"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in found.schema.fields if f.name in names)
-    return found.mapInArrow(run, fields + "score double, neighbours array<struct<doc_id:long,label:int,cosine:double>>")
+    near = T.ArrayType(T.StructType().add("doc_id", "long").add("label", "integer").add("cosine", "double"))
+    return found.mapInArrow(run, T.StructType([f for f in found.schema.fields if f.name in names]).add("score", "double").add("neighbours", near))
 
 
 def remainder(doc_id, n: int) -> F.Column:
@@ -288,15 +289,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below the threshold, with all their columns.
 
-    The text travels through the scoring rows' table by a row number that the
-    written table fixes.
+    All columns travel with a row's counts, so no document is shuffled or joined.
     """
-    row = free_name(docs, "_row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "toxicity-docs")
-    slim = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("_row"))
-    model, found = fit(slim.drop("_row"), labels, slim, trains=remainder("doc_id", 3) != 1)
-    bad = score(found, model).where(F.col("score") >= THRESHOLD).select(F.col("_row").alias(row))
-    return numbered.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select("text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    model, found = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, held, trains=remainder("doc_id", 3) != 1)
+    good = score(found, model).where(F.col("score") < THRESHOLD)
+    return good.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

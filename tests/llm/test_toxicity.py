@@ -38,6 +38,16 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.predicted)
 
 
+def test_reject_neither_joins_nor_shuffles_documents(spark):
+    """Whatever the columns' names, a document goes through its scoring row."""
+    d = spark.createDataFrame([(1, "a b", 5, "x y"), (None, None, 6, "z")], "doc_id long, text string, score int, `odd name` string")
+    lab = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = T.reject(d, lab)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert kept.dtypes == d.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, d.collect()))
+
+
 def test_no_labels_and_empty(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
