@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, stored
+from .common import components, discard, free_name, stored
 
 THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 24, 5
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     members = stored(buckets.join(shared, "bucket"), "neardup-members")
     pairs = stored(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "neardup-pairs")
     texts = node_texts(members.select("id").distinct(), nodes, slim)
-    roots = components(verified(pairs, texts), "neardup")
+    first = roots = components(verified(pairs, texts), "neardup")
     placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     placed = stored(placed.join(nodes.select("id", "n_chars"), "id"), "neardup-placed")
     mixed = stored(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum("n_chars").alias("size")).where("x < y").select("bucket", "n", "size"), "neardup-mixed")
@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
         signed.where(worded).select("row", "doc_id", "key").join(named, "key").select("row", "doc_id", "root"),
         "neardup-labelled",
     )
+    discard(nodes, shared, members, pairs, texts, placed, mixed, first)
     classes = stored(labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("root", "class_id", F.col("first.row").alias("first_row")), "neardup-classes")
     joined = labelled.join(classes, "root").select("row", "doc_id", "class_id", (F.col("row") == F.col("first_row")).alias("kept"))
     alone = signed.where(~worded).select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
