@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import selection
+from curatrix.llm import common
+from curatrix.operators import selection, stage
 from curatrix.sources import listing, sinks
 from curatrix.sources.bundle import Bundle, BundleChanged, BundleTaken
 
@@ -107,3 +108,12 @@ def test_a_bundle_is_put_in_force_whole_and_names_what_changed(spark, tmp_path,
     with pytest.raises(BundleChanged, match="missing"):
         bundle.bind("one")
     assert [r.v for r in bundle.bind("two")["two"].collect()] == ["d"]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = disk.getAllBlocks().size(), spark.conf.get(stage.CLEANUP, None)
+    for store in (stage.stored, common.stored):
+        assert store(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count(), "kept").count() == 97
+        assert disk.getAllBlocks().size() <= before + 2 and spark.conf.get(stage.CLEANUP, None) == setting  # of the count
+        before = disk.getAllBlocks().size()
