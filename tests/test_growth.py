@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 
 import pytest
@@ -41,6 +42,20 @@ def test_each_pair_of_names_is_compared_once(spark):
     assert "ArrowEvalPython" not in plan(Q.QUERIES["similarity_ratio"](spark, SF))
 
 
+def test_ratios_of_repeated_names_come_from_lists_of_keys(spark, tmp_path, monkeypatch):
+    """Names that many parts share, some null: every pair once, listed behind the last shuffle."""
+    monkeypatch.setattr(Q, "KEYS", 3, raising=False)
+    r = random.Random(2)
+    rows = [(i // 2, f"b{i % 2}", r.choice([1, 1, 1, None]), r.choice(["oak chair", "oak table", "tin chair", None])) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    ratio = lambda x, y: None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), 4)
+    want = [(a[0], b[0], ratio(a[3], b[3])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] == b[2] == 1]
+    found = Q.QUERIES["similarity_ratio"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    tree = plan(found)
+    assert "Generate" in tree and tree.index("Generate") < tree.index("Exchange")
+
+
 def _members(n: int, most: int):
     r = random.Random(7)
     return [(f"m{i % (n - 3)}", [r.choice("abcdefghijklmno") for _ in range(r.randint(0, most))] + [None]) for i in range(n)] + [(None, ["a"])]
